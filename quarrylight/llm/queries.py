@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import urls
-from quarrylight.llm import leaks, mixing, neardup, repetition, seen
+from quarrylight.llm import leaks, mixing, neardup, pii, quality, repetition, residue, seen
 from quarrylight.storage import table
 
 #: Near-duplicates as the found-query states them; the operator's defaults are five words and 80 %.
@@ -31,6 +31,37 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_report(frontier, "offer_id", urls.offered_key(F.col("urlhash"), F.col("url")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    finds = table(spark, d, "finds").where("score IS NOT NULL AND kind IS DISTINCT FROM 'ascii_art'")
+    return quality.not_prose(finds)
+
+
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    out = quality.statistics(table(spark, d, "finds").where("score IS NOT NULL"))
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.details(table(spark, d, "finds"), table(spark, d, "given_names"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "finds"), table(spark, d, "given_names"))
+
+
+def p4_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    # the key of a deployment comes from its secret store; this one makes the query repeatable
+    return pii.surrogates(table(spark, d, "finds"), b"public example key", table(spark, d, "given_names"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.judged(table(spark, d, "finds")).select("find_id")
+
+
+def p6_clean_finds(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(table(spark, d, "finds")).select("find_id", "kind", "domain")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).where("exact").select("doc_id", "item_id")
 
@@ -60,4 +91,5 @@ def p9_repetition(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_error_rate, p7_found, p7_reparameterised, p8_mix, p8_shares, p9_found, p9_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_error_rate, p3_found, p3_statistics, p4_found, p4_redacted, p4_surrogates,
+                                       p6_found, p6_clean_finds, p7_found, p7_reparameterised, p8_mix, p8_shares, p9_found, p9_repetition)}
