@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylight import rules
+from quarrylight.functions.match import contains_any, ends_with_any, literal, strip
 
 #: scheme, authority, path, query, fragment
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*(?=:)"
@@ -119,3 +120,120 @@ def offered_key(urlhash: Column, url: Column) -> Column:
     """
     given = F.lower(F.regexp_replace(urlhash, r"^\s+|\s+$", ""))
     return F.when(given.rlike("^[0-9a-f]{40}$"), given).otherwise(url_hash(canonical(url)))
+
+
+# --- further forms of an address ----------------------------------------------------------------
+def without_query(url: Column) -> Column:
+    """Key of a page where queries never make a page: scheme, site form of the host, path; ``/`` for none."""
+    p = path(url)
+    return F.concat(scheme(url), F.lit("://"), site_key(url), F.when(p == "", F.lit("/")).otherwise(p))
+
+
+def roaming_form(url: Column) -> Column:
+    """Key of a page where the query may be all that names it: host lower-cased, fragment and parameters gone."""
+    p, q = path(url), query(url)
+    return F.concat(scheme(url), F.lit("://"), F.lower(netloc(url)), F.when(p == "", F.lit("/")).otherwise(p), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+
+
+def with_scheme(seed: Column) -> Column:
+    """A seed as an address: ``https://`` is put before one without http(s)."""
+    return F.when(seed.rlike("^https?://"), seed).otherwise(F.concat(F.lit("https://"), seed))
+
+
+def homepage(url: Column) -> Column:
+    """Front page of an address's host."""
+    return F.concat(scheme(url), F.lit("://"), F.lower(netloc(url)), F.lit("/"))
+
+
+def path_prefix(url: Column, depth: int = 1) -> Column:
+    """The first ``depth`` non-empty segments of the path: the bucket a cap counts in; ``""`` for the root."""
+    return F.array_join(F.slice(F.filter(F.split(raw_path(url), "/"), lambda s: s != ""), 1, depth), "/")
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """Absolute http(s) address of ``href`` on the page ``base``, without fragment; NULL for any other.
+
+    Absolute references are settled in the JVM; relative ones (dots, queries alone) by the standard
+    library's rules in an Arrow function.
+    """
+    ready = F.regexp_replace(href, "#.*$", "")
+    plain = href.rlike(r"^https?://[^/?#\s]+/?[^\s.]*$")
+    joined = F.when(plain, ready).otherwise(_joined()(base, F.when(~plain, href)))
+    return F.when(joined.rlike("^https?://"), joined)
+
+
+def _joined():
+    from urllib.parse import urljoin
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def joined(base: pd.Series, href: pd.Series) -> pd.Series:
+        def one(b, h):
+            if b is None or h is None:
+                return None
+            try:
+                return urljoin(b, h).split("#")[0]
+            except ValueError:
+                return None
+
+        return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
+
+    return joined
+
+
+# --- what an address says about its page --------------------------------------------------------
+def link_priority(url: Column) -> Column:
+    """1 for contact-like paths, 3 for archives, 2 for the rest; the first test decides."""
+    p = F.lower(path(url))
+    return F.when(contains_any(p, rules.HIGH_VALUE_PATH_HINTS), 1).when(contains_any(p, rules.LOW_VALUE_PATH_HINTS), 3).otherwise(2)
+
+
+def legacy_file(url: Column) -> Column:
+    return ends_with_any(F.lower(path(url)), rules.LEGACY_EXTENSIONS)
+
+
+def flagged_file(url: Column) -> Column:
+    return ends_with_any(F.lower(path(url)), rules.FLAGGED_EXTENSIONS)
+
+
+def sensitive_verdict(url: Column) -> Column:
+    """``high`` for file types that should never be public, ``context`` for data files named like a dump, else NULL."""
+    p = F.lower(path(url))
+    name = F.substring_index(p, "/", -1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    return (F.when(ends_with_any(p, rules.HIGH_SENSITIVE_EXTENSIONS), "high")
+            .when(ends_with_any(p, rules.CONTEXT_SENSITIVE_EXTENSIONS) & ~stem.isin(*rules.BENIGN_STEMS) & contains_any(name, rules.DUMPY_HINTS), "context"))
+
+
+def bot_hostile(host: Column) -> Column:
+    """Whether a host is, or is below, one that turns crawlers away."""
+    return site_form(host).rlike(r"(?:^|\.)(?:" + "|".join(map(literal, rules.BOT_HOSTILE_HOSTS)) + r")\z")
+
+
+def unquoted(c: Column) -> Column:
+    """Percent-escapes decoded, ``+`` left alone; a value with a broken escape stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
+def looks_like_url(value: Column) -> Column:
+    v = F.lower(strip(value))
+    return v.rlike(r"^(?:https?://|//|/\\|\\\\)") | v.contains("://")
+
+
+def risky_params(url: Column) -> Column:
+    """Reasons, in the order of the query, why parameters deserve a look; empty for none."""
+
+    def reasons(kv: Column) -> Column:
+        name, raw = F.substring_index(kv, "=", 1), F.when(kv.contains("="), F.regexp_replace(kv, "^[^=]*=", "")).otherwise(F.lit(""))
+        low_name, value = F.lower(name), unquoted(raw)
+        cut = F.substring(value, 1, 60)
+        say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+        url_like = F.when(looks_like_url(value), F.when(low_name.isin(*rules.REDIRECT_PARAM_NAMES), say(name, "= points at a URL (", cut, ") - open-redirect/SSRF candidate"))
+                          .otherwise(say(name, "= carries a URL (", cut, ") - possible SSRF/redirect")))
+        path_like = (F.when(value.contains("../") | value.contains("..\\") | F.lower(raw).contains("%2e%2e"), say(name, "= contains path traversal (", cut, ")"))
+                     .when(F.lower(value).rlike(rules.FILESYSTEM_PATH), say(name, "= looks like a filesystem path (", cut, ")")))
+        toggle = F.when(low_name.isin(*rules.TOGGLE_PARAM_NAMES) & F.lower(value).isin(*rules.TRUTHY_VALUES), say(name, "=", value, " - debug/admin toggle enabled"))
+        return F.filter(F.array(url_like, path_like, toggle), lambda r: r.isNotNull())
+
+    return F.flatten(F.transform(F.filter(F.split(query(url), "&"), lambda kv: kv != ""), reasons))
