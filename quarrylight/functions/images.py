@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +31,6 @@ def dimensions(body: Column) -> Column:
 
 
 def _jpeg():
-    import pandas as pd
 
     @F.pandas_udf("struct<width:int,height:int>")
     def frame(bodies: pd.Series) -> pd.DataFrame:

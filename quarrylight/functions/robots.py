@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,7 +57,6 @@ def allowed(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
 
 def standard_allowed(body: Column, url: Column, agent: str = "*") -> Column:
     """Verdict of the standard library's parser (no wildcards) on an address; no file allows."""
-    import pandas as pd
 
     @F.pandas_udf("boolean")
     def verdict(bodies: pd.Series, addresses: pd.Series) -> pd.Series:

@@ -37,11 +37,12 @@ def effective_tier(tier: Column, value: Column) -> Column:
 
 def matches(text: Column) -> Column:
     """ARRAY<STRUCT<label, tier, value>> of all pattern matches."""
-    hits = []
-    for label, tier, pattern in rules.SECRET_PATTERNS:
-        group = 1 if tier == "generic" else 0
-        hits.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v, a=label, t=tier: F.struct(F.lit(a).alias("label"), F.lit(t).alias("tier"), v.alias("value"))))
-    return F.flatten(F.array(*hits))
+
+    def of(label: str, tier: str, pattern: str) -> Column:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if tier == "generic" else 0))
+        return F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), F.lit(tier).alias("tier"), v.alias("value")))
+
+    return F.flatten(F.array(*(of(*p) for p in rules.SECRET_PATTERNS)))
 
 
 def scan(pages: DataFrame, text: str = "body", url: str = "url", netloc: str = "netloc") -> DataFrame:

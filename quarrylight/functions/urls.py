@@ -6,6 +6,7 @@ A URL is taken apart with the generic-syntax pattern of RFC 3986, appendix B, be
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,7 +166,6 @@ def resolve(base: Column, href: Column) -> Column:
 def _joined():
     from urllib.parse import urljoin
 
-    import pandas as pd
 
     @F.pandas_udf("string")
     def joined(base: pd.Series, href: pd.Series) -> pd.Series:

@@ -44,8 +44,8 @@ def finds(spark: SparkSession, path: str) -> DataFrame:
     """Finds of a JSON-lines file; blank and broken lines are left out, a missing file is empty."""
     if not exists(spark, path):
         return spark.createDataFrame([], FIND)
-    parsed = spark.read.schema(f"{FIND}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return parsed.where("_broken IS NULL").drop("_broken")
+    parsed = spark.read.text(path).select(F.from_json("value", f"{FIND}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    return parsed.where("r IS NOT NULL AND r._broken IS NULL").select("r.*").drop("_broken")
 
 
 def completed(spark: SparkSession, path: str) -> list[str]:
