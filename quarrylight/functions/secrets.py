@@ -14,7 +14,7 @@ def shannon_entropy(s: Column) -> Column:
     chars = F.split(s, "")
     n = F.length(s)
     count = lambda c: F.size(F.filter(chars, lambda x: x == c))
-    return F.when(n == 0, F.lit(0.0)).otherwise(-F.aggregate(F.array_distinct(F.filter(chars, lambda c: c != "")), F.lit(0.0), lambda acc, c: acc + (count(c) / n) * F.log2(count(c) / n)))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.abs(F.aggregate(F.array_distinct(F.filter(chars, lambda c: c != "")), F.lit(0.0), lambda acc, c: acc + (count(c) / n) * F.log2(count(c) / n))))
 
 
 def mask(s: Column) -> Column:

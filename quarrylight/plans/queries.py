@@ -30,9 +30,6 @@ def _offers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "frontier").where("url IS NOT NULL").select("offer_id", "kind", "url", "source", "depth", "state").distinct()
 
 
-U = F.col("url")
-
-
 # --- hot keys -----------------------------------------------------------------------------------
 @query
 def p5_found(spark, d):
@@ -47,101 +44,101 @@ def p5_pair_rollup(spark, d):
 # --- addresses ----------------------------------------------------------------------------------
 @query
 def url_split(spark, d):
-    return _offers(spark, d).select("offer_id", urls.scheme(U).alias("scheme"), urls.netloc(U).alias("netloc"), urls.raw_path(U).alias("path"), urls.query(U).alias("query"))
+    return _offers(spark, d).select("offer_id", urls.scheme(F.col("url")).alias("scheme"), urls.netloc(F.col("url")).alias("netloc"), urls.raw_path(F.col("url")).alias("path"), urls.query(F.col("url")).alias("query"))
 
 
 @query
 def url_canonical(spark, d):
-    c = urls.canonical(U)
+    c = urls.canonical(F.col("url"))
     return _offers(spark, d).select("offer_id", c.alias("canonical"), urls.url_hash(c).alias("hash"))
 
 
 @query
 def url_without_query(spark, d):
-    return _offers(spark, d).select("offer_id", urls.without_query(U).alias("page"))
+    return _offers(spark, d).select("offer_id", urls.without_query(F.col("url")).alias("page"))
 
 
 @query
 def url_roaming_form(spark, d):
-    return _offers(spark, d).select("offer_id", urls.roaming_form(U).alias("page"), urls.homepage(U).alias("home"))
+    return _offers(spark, d).select("offer_id", urls.roaming_form(F.col("url")).alias("page"), urls.homepage(F.col("url")).alias("home"))
 
 
 @query
 def url_site_rollup(spark, d):
-    return _offers(spark, d).groupBy(urls.site_key(U).alias("site")).agg(F.count(F.lit(1)).alias("offers"), F.count_distinct("kind").alias("kinds"), F.min("depth").alias("least_depth")).withColumn("stem", urls.site_file_stem(F.col("site")))
+    return _offers(spark, d).groupBy(urls.site_key(F.col("url")).alias("site")).agg(F.count(F.lit(1)).alias("offers"), F.count_distinct("kind").alias("kinds"), F.min("depth").alias("least_depth")).withColumn("stem", urls.site_file_stem(F.col("site")))
 
 
 @query
 def url_resolved(spark, d):
     href = F.concat(F.lit("../p"), F.col("offer_id").cast("string"), F.lit("?q=1#top"))
-    return _offers(spark, d).where("kind = 'page'").select("offer_id", urls.resolve(F.concat(urls.homepage(U), F.lit("a/b/c")), href).alias("target"))
+    return _offers(spark, d).where("kind = 'page'").select("offer_id", urls.resolve(F.concat(urls.homepage(F.col("url")), F.lit("a/b/c")), href).alias("target"))
 
 
 @query
 def url_seed_form(spark, d):
-    return _offers(spark, d).select(urls.with_scheme(urls.site_key(U)).alias("seed")).distinct()
+    return _offers(spark, d).select(urls.with_scheme(urls.site_key(F.col("url"))).alias("seed")).distinct()
 
 
 @query
 def tracking_params_stripped(spark, d):
-    named = F.explode(F.filter(F.split(urls.query(U), "&"), lambda kv: kv != ""))
+    named = F.explode(F.filter(F.split(urls.query(F.col("url")), "&"), lambda kv: kv != ""))
     rows = _offers(spark, d).select(named.alias("kv")).select(F.lower(F.substring_index("kv", "=", 1)).alias("name"))
     return rows.where(F.col("name").isin(*rules.TRACKING_PARAMS)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def url_prefix_bucket(spark, d):
-    return _offers(spark, d).groupBy(urls.site_key(U).alias("site"), urls.path_prefix(U, 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return _offers(spark, d).groupBy(urls.site_key(F.col("url")).alias("site"), urls.path_prefix(F.col("url"), 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def prefix_cap(spark, d):
-    rows = _offers(spark, d).select("offer_id", urls.site_key(U).alias("site"), urls.path_prefix(U, 1).alias("bucket")).where("bucket <> ''")
+    rows = _offers(spark, d).select("offer_id", urls.site_key(F.col("url")).alias("site"), urls.path_prefix(F.col("url"), 1).alias("bucket")).where("bucket <> ''")
     return R.cap_per_group(rows, ["site", "bucket"], ["offer_id"], 3)
 
 
 @query
 def prefix_cap_skips(spark, d):
-    rows = _offers(spark, d).select(urls.site_key(U).alias("site"), urls.path_prefix(U, 1).alias("bucket")).where("bucket <> ''")
+    rows = _offers(spark, d).select(urls.site_key(F.col("url")).alias("site"), urls.path_prefix(F.col("url"), 1).alias("bucket")).where("bucket <> ''")
     return R.skipped_by_cap(rows, ["site", "bucket"], 3)
 
 
 @query
 def query_variant_cap(spark, d):
-    rows = _offers(spark, d).select("offer_id", urls.site_key(U).alias("site"), urls.raw_path(U).alias("path"), urls.query(U).alias("query")).where("query <> ''")
+    rows = _offers(spark, d).select("offer_id", urls.site_key(F.col("url")).alias("site"), urls.raw_path(F.col("url")).alias("path"), urls.query(F.col("url")).alias("query")).where("query <> ''")
     return R.cap_per_group(rows, ["site", "path"], ["offer_id"], 1)
 
 
 @query
 def link_priority_order(spark, d):
-    rows = _offers(spark, d).select("offer_id", urls.link_priority(U).alias("priority"))
+    rows = _offers(spark, d).select("offer_id", urls.link_priority(F.col("url")).alias("priority"))
     return rows.orderBy("priority", "offer_id")
 
 
 @query
 def sensitive_files(spark, d):
     ends = F.element_at(F.array(*map(F.lit, ("/db.sql", "/users_export.csv", "/sitemap.xml", "/data.json", "/a.PDF", "/notes.txt", ""))), (F.col("offer_id") % 7 + 1).cast("int"))
-    u = F.concat(urls.without_query(U), ends)
+    u = F.concat(urls.without_query(F.col("url")), ends)
     return _offers(spark, d).select("offer_id", urls.sensitive_verdict(u).alias("verdict"), urls.legacy_file(u).alias("legacy"), urls.flagged_file(u).alias("flagged"))
 
 
 @query
 def risky_params(spark, d):
     asked = F.element_at(F.array(*map(F.lit, ("next=https://e.test/x", "f=../../etc", "p=/etc/passwd", "debug=1", "id=5", "ref=//k.test"))), (F.col("offer_id") % 6 + 1).cast("int"))
-    rows = _offers(spark, d).select("offer_id", F.explode(urls.risky_params(F.concat(urls.without_query(U), F.lit("?"), asked))).alias("reason"))
+    rows = _offers(spark, d).select("offer_id", F.explode(urls.risky_params(F.concat(urls.without_query(F.col("url")), F.lit("?"), asked))).alias("reason"))
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def bot_hostile(spark, d):
     host = F.concat(F.element_at(F.array(*map(F.lit, ("www.facebook.com", "m.x.com", "netflix.com", "a.linkedin.com"))), (F.col("offer_id") % 4 + 1).cast("int")))
-    rows = _offers(spark, d).select(F.when(F.col("offer_id") % 5 == 0, host).otherwise(urls.netloc(U)).alias("host"))
+    rows = _offers(spark, d).select(F.when(F.col("offer_id") % 5 == 0, host).otherwise(urls.netloc(F.col("url"))).alias("host"))
     return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).withColumn("hostile", urls.bot_hostile(F.col("host")))
 
 
 @query
 def hosts_below_domains(spark, d):
-    rows = _offers(spark, d).select("offer_id", urls.netloc(U).alias("host"))
+    rows = _offers(spark, d).select("offer_id", urls.netloc(F.col("url")).alias("host"))
     return R.below_domain(rows, "host", table(spark, d, "site_stats").select("netloc").where("netloc LIKE '%.example'")).select("offer_id")
 
 
@@ -158,7 +155,7 @@ def frontier_pending(spark, d):
 
 @query
 def frontier_dedupe(spark, d):
-    rows = table(spark, d, "frontier").select(urls.offered_key(F.col("urlhash"), U).alias("key"), "offer_id", "kind", "depth").where("key IS NOT NULL")
+    rows = table(spark, d, "frontier").select(urls.offered_key(F.col("urlhash"), F.col("url")).alias("key"), "offer_id", "kind", "depth").where("key IS NOT NULL")
     return R.first_per_key(rows, ["key"], ["offer_id"])
 
 
@@ -171,19 +168,19 @@ def frontier_scope(spark, d):
 @query
 def frontier_unseen(spark, d):
     offers = _offers(spark, d)
-    done = offers.where("state = 2").select(urls.canonical(U).alias("page"))
-    return R.unseen(offers.where("state = 0").select("offer_id", urls.canonical(U).alias("page")), done, ["page"])
+    done = offers.where("state = 2").select(urls.canonical(F.col("url")).alias("page"))
+    return R.unseen(offers.where("state = 0").select("offer_id", urls.canonical(F.col("url")).alias("page")), done, ["page"])
 
 
 @query
 def frontier_page_cap(spark, d):
-    rows = _offers(spark, d).where("kind = 'page'").select("offer_id", urls.netloc(U).alias("host"))
+    rows = _offers(spark, d).where("kind = 'page'").select("offer_id", urls.netloc(F.col("url")).alias("host"))
     return R.cap_per_group(rows, ["host"], ["offer_id"], 25)
 
 
 @query
 def frontier_first_depth(spark, d):
-    rows = _offers(spark, d).select(urls.canonical(U).alias("page"), "offer_id", "depth", "source")
+    rows = _offers(spark, d).select(urls.canonical(F.col("url")).alias("page"), "offer_id", "depth", "source")
     return R.first_per_key(rows, ["page"], ["offer_id"])
 
 
@@ -197,7 +194,7 @@ def frontier_bfs(spark, d):
 
 @query
 def probe_matrix(spark, d):
-    roots = _offers(spark, d).select(F.concat(urls.scheme(U), F.lit("://"), F.lower(urls.netloc(U))).alias("root")).distinct()
+    roots = _offers(spark, d).select(F.concat(urls.scheme(F.col("url")), F.lit("://"), F.lower(urls.netloc(F.col("url")))).alias("root")).distinct()
     return pipelines.probe_targets(spark, roots).select("url", "source")
 
 
@@ -268,7 +265,7 @@ def sites_with_data(spark, d):
 @query
 def site_counters(spark, d):
     event = F.element_at(F.array(*map(F.lit, ("pages_crawled", "robots_blocked", "pattern_skipped", "query_skipped"))), (F.col("offer_id") % 4 + 1).cast("int"))
-    return R.site_counters(_offers(spark, d).select(urls.site_key(U).alias("netloc"), event.alias("event")))
+    return R.site_counters(_offers(spark, d).select(urls.site_key(F.col("url")).alias("netloc"), event.alias("event")))
 
 
 # --- finds --------------------------------------------------------------------------------------
@@ -381,7 +378,7 @@ def escaped_text(spark, d):
 @query
 def body_signatures(spark, d):
     rows = table(spark, d, "documents").where("text IS NOT NULL AND url IS NOT NULL")
-    return rows.groupBy(T.body_signature(F.col("text"), U).alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    return rows.groupBy(T.body_signature(F.col("text"), F.col("url")).alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 # --- responses, derived from keys ---------------------------------------------------------------
@@ -395,8 +392,8 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("offer_id")
     page = F.concat(F.lit('<html><head><link rel="stylesheet" href="/s.css"></head><body><p>page number '), o.cast("string"), F.lit(' of the site</p><a href="/n/'), (o % 50).cast("string"),
                     F.lit('#x">next</a><a href="https://k.test/" target="_blank">k</a><img src="http://i.test/'), (o % 20).cast("string"), F.lit('.png"><!-- sorry, this is a hack --></body></html>'))
-    return _offers(spark, d).select("offer_id", "kind", U, F.coalesce("source", "url").alias("source"), "depth", _status(o).alias("status"), F.when(o % 31 == 0, F.lit("timed out")).alias("error"), (o % 7 == 0).alias("redirected"),
-                                    F.concat(U, F.lit("?r")).alias("final_url"), F.lit("text/html").alias("content_type"), F.create_map(F.lit("Server"), F.lit("nginx/1.2"), F.lit("X-Frame-Options"), F.lit("DENY")).alias("headers"),
+    return _offers(spark, d).select("offer_id", "kind", F.col("url"), F.coalesce("source", "url").alias("source"), "depth", _status(o).alias("status"), F.when(o % 31 == 0, F.lit("timed out")).alias("error"), (o % 7 == 0).alias("redirected"),
+                                    F.concat(F.col("url"), F.lit("?r")).alias("final_url"), F.lit("text/html").alias("content_type"), F.create_map(F.lit("Server"), F.lit("nginx/1.2"), F.lit("X-Frame-Options"), F.lit("DENY")).alias("headers"),
                                     F.array(F.struct(F.lit("sid").alias("name"), (o % 2 == 0).alias("secure"), F.lit(True).alias("httponly"), F.lit(False).alias("samesite"))).alias("cookies"), page.alias("body"), F.lit(3).alias("attempts"))
 
 
@@ -404,13 +401,13 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
 def page_status_class(spark, d):
     rows = _responses(spark, d).where("kind = 'page'")
     c = responses.page_class(F.col("status"), F.col("error"))
-    return rows.groupBy(c.alias("category"), urls.site_key(U).alias("netloc")).agg(F.count(F.lit(1)).alias("n")).where("category IS NOT NULL")
+    return rows.groupBy(c.alias("category"), urls.site_key(F.col("url")).alias("netloc")).agg(F.count(F.lit(1)).alias("n")).where("category IS NOT NULL")
 
 
 @query
 def resource_status_class(spark, d):
     rows = _responses(spark, d).where("kind <> 'page'")
-    c = responses.resource_class(F.col("status"), F.col("error"), U, F.col("source"))
+    c = responses.resource_class(F.col("status"), F.col("error"), F.col("url"), F.col("source"))
     return rows.groupBy(c.alias("category"), "kind").agg(F.count(F.lit(1)).alias("n")).where("category IS NOT NULL")
 
 
@@ -460,7 +457,7 @@ def page_paragraphs(spark, d):
 def robots_longest_match(spark, d):
     body = "User-agent: *\nDisallow: /*a\nAllow: /*-a\nDisallow: /*.php$\nUser-agent: other\nDisallow: /"
     pages = _offers(spark, d).select("offer_id", "url")
-    roots = pages.select(F.concat(urls.scheme(U), F.lit("://"), urls.netloc(U)).alias("root")).distinct()
+    roots = pages.select(F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.netloc(F.col("url"))).alias("root")).distinct()
     rows = robots.parse(roots.withColumn("body", F.lit(body)))
     return robots.allowed(pages, rows).select("offer_id", "allowed")
 
@@ -468,5 +465,5 @@ def robots_longest_match(spark, d):
 @query
 def image_names(spark, d):
     mime = F.element_at(F.array(*map(F.lit, ("image/webp", "image/png", "image/jpeg", "text/plain"))), (F.col("offer_id") % 4 + 1).cast("int"))
-    rows = _offers(spark, d).where("kind = 'image'").select("offer_id", urls.site_key(U).alias("site"), images.file_name(U, mime).alias("name"))
+    rows = _offers(spark, d).where("kind = 'image'").select("offer_id", urls.site_key(F.col("url")).alias("site"), images.file_name(F.col("url"), mime).alias("name"))
     return R.numbered_names(rows, "site", "name", ["offer_id"])

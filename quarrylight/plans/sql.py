@@ -108,7 +108,7 @@ SQL = {
     "keyword_signals": "SELECT find_id, " + ", ".join(f"{_word_test(rules.STRONG_SIGNALS[t])} AS {t.replace('-', '_')}" for t in ("hiring", "greeting", "easter-egg", "confession")) + " FROM finds",
     "emails_found": f"SELECT doc_id, unnest({_EMAILS}) AS email FROM documents",
     "emails_first_seen": f"WITH e AS (SELECT doc_id, {_CLEAN_HOST.format('domain')} AS site, unnest({_EMAILS}) AS email FROM documents) SELECT site, email, min(doc_id) AS first_doc, count(*) AS docs FROM e GROUP BY site, email",
-    "shannon_entropy": "WITH h AS (SELECT DISTINCT offer_id, urlhash FROM frontier WHERE urlhash IS NOT NULL), c AS (SELECT offer_id, urlhash, length(urlhash) AS len, unnest(string_split(urlhash, '')) AS ch FROM h), g AS (SELECT offer_id, urlhash, len, ch, count(*) AS n FROM c GROUP BY ALL) SELECT offer_id, CASE WHEN max(len) = 0 THEN 0.0 ELSE round(-sum(n / greatest(len, 1) * log2(n / greatest(len, 1))), 6) END AS entropy FROM g GROUP BY offer_id, urlhash",
+    "shannon_entropy": "WITH h AS (SELECT DISTINCT offer_id, urlhash FROM frontier WHERE urlhash IS NOT NULL), c AS (SELECT offer_id, urlhash, length(urlhash) AS len, unnest(string_split(urlhash, '')) AS ch FROM h), g AS (SELECT offer_id, urlhash, len, ch, count(*) AS n FROM c GROUP BY ALL) SELECT offer_id, CASE WHEN max(len) = 0 THEN 0.0 ELSE round(abs(sum(n / greatest(len, 1) * log2(n / greatest(len, 1)))), 6) END AS entropy FROM g GROUP BY offer_id, urlhash",
     "secret_mask": "SELECT offer_id, CASE WHEN length(urlhash) <= 8 THEN repeat('*', length(urlhash)) ELSE left(urlhash, 4) || repeat('*', length(urlhash) - 8) || right(urlhash, 4) END AS masked FROM (SELECT DISTINCT offer_id, urlhash FROM frontier WHERE urlhash IS NOT NULL)",
     "corpus_dedupe": f"WITH l AS (SELECT doc_id, {_COLLAPSE.format('unnest(string_split(text, chr(10)))')} AS paragraph FROM documents) SELECT sha1(paragraph) AS paragraph, min(doc_id) AS doc_id FROM l WHERE len(string_split(paragraph, ' ')) >= 5 GROUP BY l.paragraph",
     "escaped_text": "SELECT doc_id, sha1(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS hash FROM documents WHERE text IS NOT NULL",
