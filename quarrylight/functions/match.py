@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,9 +15,18 @@ def literal(x: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}\-])", r"\\\1", x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row.
+
+    An expression that is used several times, pushed down or put into a lambda would be computed
+    for each use; bound as the variable of a one-element array it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(c: Column, words) -> Column:
-    """Whether ``c`` has one of ``words`` as a substring."""
-    return c.rlike("|".join(map(literal, words)))
+    """Whether ``c`` has one of ``words`` as a substring: byte searches, far cheaper than an alternation."""
+    return let(c, lambda x: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w)))
 
 
 def ends_with_any(c: Column, ends) -> Column:
@@ -28,11 +39,16 @@ def keywords(words) -> str:
     The text must be in lower case. Alternatives are tried in the order of the list.
     """
 
-    def one(w: str) -> str:
-        w = w.strip()
-        return ("(?<![a-z0-9])" if w[:1].isalnum() else "") + literal(w) + ("(?![a-z0-9])" if w[-1:].isalnum() else "")
+    def edges(w: str) -> tuple[str, str]:
+        return "(?<![a-z0-9])" if w[:1].isalnum() else "", "(?![a-z0-9])" if w[-1:].isalnum() else ""
 
-    return "|".join(map(one, words))
+    # neighbours with like edges share them: alternatives are tried at the beginnings of words only
+    runs = [(k, list(own)) for k, own in groupby((w.strip() for w in words), edges)]
+    parts = []
+    for (left, right), own in runs:
+        first = "(?=[" + "".join(literal(c) for c in sorted({w[0] for w in own})) + "])"
+        parts.append(left + first + "(?:" + "|".join(map(literal, own)) + ")" + right)
+    return "|".join(parts)
 
 
 def strip(c: Column) -> Column:

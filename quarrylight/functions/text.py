@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylight import rules
-from quarrylight.functions.match import collapse, contains_any, keywords, literal, strip
+from quarrylight.functions.match import collapse, contains_any, keywords, let, literal, strip
 
 __all__ = ["collapse", "strip"]
 
@@ -24,15 +24,17 @@ def looks_like_code(text: Column) -> Column:
 
 def ascii_art(text: Column) -> Column:
     """A known face, or three lines and 45 % of all lines with 40 % drawing characters; markup never."""
-    lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: strip(x) != "")
+    lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.trim(x) != "")
     art = "[" + "".join(map(literal, rules.ART_CHARS)) + "]"
 
     def artish(line: Column) -> Column:
-        core = strip(line)
-        return (F.length(core) >= 4) & ((F.length(core) - F.length(F.regexp_replace(core, art, ""))) >= F.length(core) * 0.4)
+        return let(strip(line), lambda core: (F.length(core) >= 4) & ((F.length(core) - F.length(F.regexp_replace(core, art, ""))) >= F.length(core) * 0.4))
 
-    n, k = F.size(lines), F.size(F.filter(lines, artish))
-    return contains_any(F.lower(text), rules.KAOMOJI) | (~text.rlike(r"</?\w+[\s/>]") & (n >= 3) & (k >= 3) & (k >= n * 0.45))
+    def drawn(own: Column) -> Column:
+        n = F.size(own)
+        return F.when(n < 3, F.lit(False)).otherwise(let(F.size(F.filter(own, artish)), lambda k: (k >= 3) & (k >= n * 0.45)))
+
+    return contains_any(F.lower(text), rules.KAOMOJI) | (~text.rlike(r"</?\w+[\s/>]") & let(lines, drawn))
 
 
 def keyword_count(low: Column, words) -> Column:
@@ -55,19 +57,28 @@ def classify_comment(raw: Column) -> Column:
     by signals (5), turns of phrase (up to 6 and 2), faces (3), punctuation (up to 2) and the first
     person (1); 3 is enough.
     """
-    text = strip(raw)
-    flat = collapse(raw)
-    low = F.lower(flat)
-    tags = F.filter(F.array(*(F.when(low.rlike(keywords(words)), F.lit(tag)) for tag, words in rules.STRONG_SIGNALS.items())), lambda t: t.isNotNull())
-    strong = keyword_count(low, rules.STRONG_DEV)
-    face = has_emoticon(flat) | has_emoji(text)
-    score = (F.when(F.size(tags) > 0, 5).otherwise(0) + F.least(strong * 3, F.lit(6)) + F.least(keyword_count(low, rules.WEAK_DEV), F.lit(2)) + F.when(face, 3).otherwise(0)
-             + F.when(text.rlike(r"\?!|!\?|\?\?|!!"), 2).when(text.contains("!"), 1).otherwise(0) + F.when(low.rlike(r"\bi\b|\bi'm\b|\bim\b|\bmy\b|\bme\b|\bmyself\b"), 1).otherwise(0))
-    every = F.concat(tags, F.when(strong > 0, F.array(F.lit("dev-voice"))).otherwise(F.array().cast("array<string>")), F.when(face, F.array(F.lit("emoticon"))).otherwise(F.array().cast("array<string>")))
-    every = F.when(F.size(every) > 0, every).otherwise(F.array(F.lit("note")))
-    dropped = (F.length(low) < 10) | contains_any(low, rules.HARD_SKIP) | looks_like_code(text) | low.rlike(rules.LIBRARY_BANNER)
+    none = F.array().cast("array<string>")
     make = lambda kind, n, t: F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("score"), t.alias("tags"))
-    return F.when(ascii_art(raw), make("ascii_art", F.lit(6), F.array(F.lit("ascii-art")))).when(~dropped & (score >= rules.KEEP_THRESHOLD), make("html_comment", score, every))
+
+    def scored(text: Column, flat: Column, low: Column) -> Column:
+        tags = F.filter(F.array(*(F.when(low.rlike(keywords(words)), F.lit(tag)) for tag, words in rules.STRONG_SIGNALS.items())), lambda t: t.isNotNull())
+        parts = F.struct(tags.alias("tags"), keyword_count(low, rules.STRONG_DEV).alias("strong"), (has_emoticon(flat) | has_emoji(text)).alias("face"))
+
+        def verdict(p: Column) -> Column:
+            score = (F.when(F.size(p["tags"]) > 0, 5).otherwise(0) + F.least(p["strong"] * 3, F.lit(6)) + F.least(keyword_count(low, rules.WEAK_DEV), F.lit(2)) + F.when(p["face"], 3).otherwise(0)
+                     + F.when(text.rlike(r"\?!|!\?|\?\?|!!"), 2).when(text.contains("!"), 1).otherwise(0) + F.when(low.rlike(r"\b(?:i|i'm|im|my|me|myself)\b"), 1).otherwise(0))
+            every = F.concat(p["tags"], F.when(p["strong"] > 0, F.array(F.lit("dev-voice"))).otherwise(none), F.when(p["face"], F.array(F.lit("emoticon"))).otherwise(none))
+            every = F.when(F.size(every) > 0, every).otherwise(F.array(F.lit("note")))
+            return let(score, lambda n: F.when(n >= rules.KEEP_THRESHOLD, make("html_comment", n, every)))
+
+        return let(parts, verdict)
+
+    def kept(text: Column, flat: Column, low: Column) -> Column:
+        dropped = (F.length(low) < 10) | contains_any(low, rules.HARD_SKIP) | looks_like_code(text) | low.rlike(rules.LIBRARY_BANNER)
+        return F.when(~dropped, scored(text, flat, low))
+
+    return F.when(ascii_art(raw), make("ascii_art", F.lit(6), F.array(F.lit("ascii-art")))).otherwise(
+        let(strip(raw), lambda text: let(collapse(text), lambda flat: let(F.lower(flat), lambda low: kept(text, flat, low)))))
 
 
 def find_key(kind: Column, text: Column, domain: Column) -> Column:
@@ -96,12 +107,13 @@ def body_signature(text: Column, url: Column) -> Column:
 
 def console_message(message: Column) -> Column:
     """A console message worth keeping, without its format marks, else NULL."""
-    clean = strip(F.regexp_replace(message, "%[a-z]", ""))
-    low = F.lower(clean)
     built = message.rlike(r"\$\{|' \+|\" \+|`\+")
-    greeting = message.contains("%c") & low.rlike(r"[a-z]{3,}\s+[a-z]{3,}") & contains_any(low, rules.CONSOLE_GREETINGS)
-    keep = (F.length(clean) >= 8) & ~built & ~contains_any(low, rules.CONSOLE_NOISE) & (contains_any(low, rules.CONSOLE_EGG_WORDS) | has_emoji(clean) | greeting)
-    return F.when(keep, clean)
+
+    def keep(clean: Column, low: Column) -> Column:
+        greeting = message.contains("%c") & low.rlike(r"[a-z]{3,}\s+[a-z]{3,}") & contains_any(low, rules.CONSOLE_GREETINGS)
+        return (F.length(clean) >= 8) & ~built & ~contains_any(low, rules.CONSOLE_NOISE) & (contains_any(low, rules.CONSOLE_EGG_WORDS) | has_emoji(clean) | greeting)
+
+    return let(strip(F.regexp_replace(message, "%[a-z]", "")), lambda clean: F.when(let(F.lower(clean), lambda low: keep(clean, low)), clean))
 
 
 def console_messages(script: Column) -> Column:
