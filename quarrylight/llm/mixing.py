@@ -25,8 +25,8 @@ from quarrylight.storage import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Sources a mixture may have: their patterns and segments are held by the driver.
-MOST_SOURCES = 64
+#: Sources a mixture may have: the driver holds their patterns, 4,095 at most, and segments.
+MOST_SOURCES = 12
 #: Texts a running total is taken over within one task.
 TEXTS_A_CELL = 4096
 

@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from quarrylight.llm import vectors
 from quarrylight.storage import cut
 
-#: Counters of the sketch and bits of the candidate filter: fixed, 4 MB and 2 MB, whatever the input.
+#: Counters of the sketch and bits of the candidate filter: fixed, 8 MB and 2 MB, whatever the input.
 SLOTS, CHUNKS, FILTER_BITS = 1 << 21, 32, 1 << 24
 #: Entries of a block, entries a list may hold before it is cut in parts, entries planned for a bucket.
 BLOCK, LONG_LIST, BUCKET = 64, 1 << 15, 400_000
 #: Pairs looked at in one step.
 STEP = 2_000_000
+#: Greatest count a counter holds.
+MOST = (1 << 32) - 1
 
 _POSTING = np.dtype([("token", "<u4"), ("set", "<u8"), ("bits", "<u8"), ("size", "<u2"), ("at", "<u2")])
 
@@ -116,20 +118,20 @@ class Join:
                 mask = np.zeros(len(s.rows), bool)
                 mask[pick] = True
                 slots += np.bincount(_slot(s.tokens[mask[s.owner]]), minlength=SLOTS)
-            small = np.minimum(slots, 65535).astype(np.uint16).reshape(CHUNKS, -1)
+            small = np.minimum(slots, MOST).astype(np.uint32).reshape(CHUNKS, -1)
             group = (TaskContext.get().partitionId() % fan) * CHUNKS
             for c in range(CHUNKS):
                 yield pa.RecordBatch.from_arrays([pa.array([group + c], pa.int32()), pa.array([small[c].tobytes()], pa.binary())], names=["chunk", "n"])
 
         def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in table.column("n"))
-            return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "n": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+            total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table.column("n"))
+            return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "n": pa.array([np.minimum(total, MOST).astype(np.uint32).tobytes()], pa.binary())})
 
         rows = source.mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary")
         if fan > 1:
             rows = rows.withColumn("chunk", F.col("chunk") % CHUNKS).groupBy("chunk").applyInArrow(add, "chunk int, n binary")
-        got = {r.chunk: r.n for r in rows.collect()}  # CHUNKS rows, 4 MB in all
-        return np.concatenate([np.frombuffer(got[c], np.uint16) if c in got else np.zeros(SLOTS // CHUNKS, np.uint16) for c in range(CHUNKS)])
+        got = {r.chunk: r.n for r in rows.collect()}  # CHUNKS rows, 8 MB in all
+        return np.concatenate([np.frombuffer(got[c], np.uint32) if c in got else np.zeros(SLOTS // CHUNKS, np.uint32) for c in range(CHUNKS)])
 
     # --- index ----------------------------------------------------------------------------------
     def postings(self, s: Sets, counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,14 +177,13 @@ class Join:
                 ends = np.r_[begin[1:], len(at)]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([rows[i:j].tobytes() for i, j in zip(begin, ends)], pa.binary())], names=["bucket", "entries"])
 
-        def meet(table: pa.Table) -> pa.Table:
-            rows = np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for c in table.column("entries").chunks for x in c])
-            pairs = list(self.pairs(rows))
-            a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.uint64)
-            b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.uint64)
-            a, b = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
-            both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.table({"a": both[:, 0], "b": both[:, 1]})
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for b in batches for x in b.column(b.schema.names.index("entries"))])
+            for a, b in self.pairs(rows):  # step by step: a bucket's pairs are never held together
+                a, b = a.view(np.int64), b.view(np.int64)
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                for k in range(0, len(both), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[k:k + (1 << 16), 0]), pa.array(both[k:k + (1 << 16), 1])], names=["a", "b"])
 
         met = source.mapInArrow(index, "bucket long, entries binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
         return met.distinct()

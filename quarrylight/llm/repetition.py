@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.functions.match import let
 from quarrylight.functions.words import words
 
 #: Words in a run, and bits of a position within a document in a packed run.
@@ -24,11 +25,6 @@ STOP_WORDS = ("the", "and", "of", "to", "in", "is", "that", "it", "was", "for",
               "el", "los", "las", "y", "es", "una", "con", "para", "por", "del")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once: inside a lambda a column would be computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _covered(starts: Column) -> Column:
     """Number of words in runs that begin at ``starts`` (sorted, a variable): each start adds up to RUN words."""
     end = F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-RUN).cast("long").alias("last")),

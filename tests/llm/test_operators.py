@@ -85,7 +85,7 @@ def test_long_lists_are_cut_without_losing_pairs(monkeypatch):
     bases = [[f"w{x}" for x in rng.integers(0, 12, 14)] for _ in range(50)]
     texts = [" ".join([*b[:-k], *(f"v{k}{x}" for x in range(k - 1))]) for b in bases for k in (1, 2, 3)]
     s = join.sets(pa.RecordBatch.from_pydict({"id": list(range(150)), "kind": ["k"] * 150, "text": texts}))
-    counts = np.full(neardup.SLOTS, 150, np.uint16)
+    counts = np.full(neardup.SLOTS, 150, np.uint32)
 
     def pairs():
         at, rows = join.postings(s, counts, 8)
