@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import urls
 from quarrylight.llm.vectors import plain
+from quarrylight.storage import cut
 
 #: Words of filler Latin (fixed values): the well-known passage and words commonly mixed with it.
 LATIN = ("lorem", "ipsum", "dolor", "dolorem", "dolore", "sit", "amet", "consectetur", "adipiscing", "elit", "sed", "eiusmod", "tempor", "incididunt",
@@ -166,9 +167,10 @@ def judged(df: DataFrame, number: str = "find_id", text: str = "text", url: str
     marks = marked(base)
     strong = F.col("placeholder") | F.col("filler") | F.col("error_page") | F.col("script_notice")
     kept = marks.where(strong | F.col("weak")).withColumn("strong", strong)
-    kept = kept.withColumn("s", F.when(~F.col("strong"), skeleton(F.col("t")))).select(
+    # few rows, and no texts: written once, so that the three readers below don't each scan the table
+    kept = cut(kept.withColumn("s", F.when(~F.col("strong"), skeleton(F.col("t")))).select(
         "n", "placeholder", "filler", "error_page", "script_notice", "strong", "h", F.xxhash64("s").alias("s"), F.xxhash64(F.lit(1), "s").alias("z"),
-        F.exists(slug_terms(F.col("u")), lambda w: F.contains(F.lower(F.col("t")), w)).alias("on_topic"))
+        F.exists(slug_terms(F.col("u")), lambda w: F.contains(F.lower(F.col("t")), w)).alias("on_topic")), "residue-marks")
     sure = kept.where("strong").withColumn("repeated_response", F.lit(False))
     weak = kept.where("NOT strong")
     spread = weak.groupBy("s", "z").agg(F.approx_count_distinct("h").alias("hosts")).where(F.col("hosts") >= hosts)
