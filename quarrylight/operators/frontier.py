@@ -123,8 +123,9 @@ class Crawl:
         return self.spark.read.parquet(f"{self.path}/frontier/wave={n}")
 
     def frontier(self) -> DataFrame:
-        """All addresses of whole waves."""
-        return R.union_all([self.wave(n) for n in self.waves])
+        """All addresses of whole waves, each once (a wave may carry what an earlier one had no room for)."""
+        rows = R.union_all([self.wave(n) for n in self.waves])
+        return R.first_per_key(rows, ["urlhash"], ["wave"]) if self.limits.wave_size else rows
 
     def responses(self) -> DataFrame | None:
         done = self.waves[:-1]
@@ -137,6 +138,11 @@ class Crawl:
         if not wave.limit(1).count():
             self._commit(self.waves, True)
             return False
+        order = ["priority", "depth", "seq", "urlhash"]
+        whole, rest = wave, None
+        if self.limits.wave_size:  # best first: what has no room waits, and competes with what is found meanwhile
+            wave = R.global_cap(whole, order, self.limits.wave_size)
+            rest = R.unseen(whole, wave, ["urlhash"])
         fetched = f"{self.path}/responses/wave={n}"
         self.fetch(wave).write.mode("overwrite").parquet(fetched)  # fetched once: readers of it never fetch again
         answers = self.spark.read.parquet(fetched)
@@ -150,9 +156,10 @@ class Crawl:
             ranked = new.withColumn("_host", urls.netloc(F.col("url"))).join(counts, "_host", "left")
             ranked = R.cap_per_group(ranked, ["_host"], ["seq", "urlhash"], self.limits.max_per_host)
             new = ranked.where(F.coalesce("_used", F.lit(0)) < self.limits.max_per_host).drop("_host", "_used")
-        order = ["priority", "depth", "seq", "urlhash"]
         if self.limits.max_rows:
             new = R.global_cap(new, order, self.limits.max_rows, self.frontier().count())
+        if rest is not None:
+            new = new.unionByName(rest.drop("wave"))
         new.withColumn("wave", F.lit(n + 1)).select(*(c.split()[0] for c in FRONTIER.split(", "))).write.mode("overwrite").parquet(f"{self.path}/frontier/wave={n + 1}")
         self._commit([*self.waves, n + 1], False)
         return True

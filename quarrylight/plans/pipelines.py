@@ -180,3 +180,39 @@ def probe_targets(spark: SparkSession, roots: DataFrame) -> DataFrame:
     from quarrylight.operators.frontier import probe_rows
 
     return probe_rows(spark, roots, rules.COMMON_PROBE_PATHS)
+
+
+def robots_rules(roots: DataFrame, fetch) -> DataFrame:
+    """Rules of the robots.txt of each root (scheme and host), fetched once a root; failures and errors allow everything."""
+    asked = roots.select(F.col(roots.columns[0]).alias("root")).where("root IS NOT NULL").distinct().withColumn("url", F.concat("root", F.lit("/robots.txt")))
+    answers = fetch(asked.select("url")).where("error IS NULL AND status < 400").select("url", "body")
+    return robots.parse(asked.join(answers, "url").select("root", "body"))
+
+
+def soft404_profiles(roots: DataFrame, fetch, token: str) -> DataFrame:
+    """(host, mode, landing, sig) of each root, from its answers for a page named by ``token``, which can't exist, and its front page."""
+    base = roots.select(F.col(roots.columns[0]).alias("root")).where("root IS NOT NULL").distinct()
+    base = base.withColumn("gone", F.concat("root", F.lit(f"/nf-{token}"))).withColumn("home", F.concat("root", F.lit("/")))
+    answers = fetch(base.select(F.explode(F.array("gone", "home")).alias("url")))
+    g = answers.select(F.col("url").alias("gone"), "status", "error", "redirected", "final_url", "body")
+    h = answers.select(F.col("url").alias("home"), F.col("status").alias("home_status"), F.col("body").alias("home_body"))
+    rows = base.join(g, "gone", "left").join(h, "home", "left")
+    profile = responses.soft404_profile(*(F.col(c) for c in ("status", "error", "redirected", "final_url", "body", "home_status", "home_body", "root")))
+    return rows.select(urls.site_key(F.col("home")).alias("host"), profile.alias("p")).select("host", "p.*")
+
+
+def totals(findings: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row: sites, pages and findings of all of a run."""
+    whole = R.stats_and_findings(stats, findings)
+    return whole.agg(F.count(F.lit(1)).alias("sites"), F.sum("pages_crawled").alias("pages"), F.sum("robots_blocked").alias("blocked"), F.sum("findings").alias("findings"))
+
+
+def with_progress(answers: DataFrame, name: str = "progress") -> DataFrame:
+    """``answers`` whose counts a listener can watch while they are made."""
+    return answers.observe(name, F.count(F.lit(1)).alias("answered"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def email_report(found: DataFrame) -> DataFrame:
+    """Lines of the report of addresses, a block a site in order; a table, so that its size is nobody's concern."""
+    per = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("email", "first_page"))), lambda e: F.concat(F.lit("    "), e["email"], F.lit("\n        found on: "), e["first_page"])), "\n")
+    return found.groupBy("site").agg(per.alias("block"), F.count(F.lit(1)).alias("n")).select("site", F.concat("site", F.lit("\n"), "block", F.lit("\n  ("), F.col("n").cast("string"), F.lit(" email(s) found)")).alias("block")).orderBy("site")

@@ -467,3 +467,8 @@ def image_names(spark, d):
     mime = F.element_at(F.array(*map(F.lit, ("image/webp", "image/png", "image/jpeg", "text/plain"))), (F.col("offer_id") % 4 + 1).cast("int"))
     rows = _offers(spark, d).where("kind = 'image'").select("offer_id", urls.site_key(F.col("url")).alias("site"), images.file_name(F.col("url"), mime).alias("name"))
     return R.numbered_names(rows, "site", "name", ["offer_id"])
+
+
+@query
+def run_totals(spark, d):
+    return pipelines.totals(table(spark, d, "findings"), table(spark, d, "site_stats"))

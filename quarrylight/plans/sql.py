@@ -117,4 +117,5 @@ SQL = {
     "retry_backoff": f"WITH {_O}, r AS (SELECT DISTINCT CAST(offer_id % 12 AS INT) AS n FROM o) SELECT n, least(pow(2.0, n), 8.0) AS transient, least(greatest(2.0 * pow(2.0, n), CASE WHEN n % 3 = 0 THEN 30.0 ELSE 0.0 END), 60.0) AS cooldown FROM r",
     "page_links": f"WITH {_O}, p AS (SELECT DISTINCT url, offer_id FROM o WHERE kind = 'page' AND offer_id % 31 <> 0 AND offer_id % 10 > 4), l AS (SELECT DISTINCT url, offer_id, {_SCHEME} || '://' || {_NETLOC} AS root FROM p), t AS (SELECT DISTINCT url, root || '/n/' || (offer_id % 50) AS target, 'page' AS kind FROM l UNION SELECT DISTINCT url, 'https://k.test/', 'page' FROM l UNION ALL SELECT url, root || '/s.css', 'stylesheet' FROM l UNION ALL SELECT url, 'http://i.test/' || (offer_id % 20) || '.png', 'image' FROM l) SELECT target, kind, count(*) AS n FROM t GROUP BY target, kind",
     "page_paragraphs": f"WITH {_O} SELECT DISTINCT 'page number ' || offer_id || ' of the site' AS paragraph FROM o WHERE kind = 'page'",
+    "run_totals": f"WITH f AS (SELECT {_NET} AS netloc, count(*) AS n FROM findings WHERE netloc IS NOT NULL GROUP BY 1), s AS (SELECT {_NET} AS netloc, pages_crawled, robots_blocked FROM site_stats) SELECT count(*) AS sites, CAST(sum(coalesce(pages_crawled, 0)) AS BIGINT) AS pages, CAST(sum(coalesce(robots_blocked, 0)) AS BIGINT) AS blocked, CAST(sum(coalesce(n, 0)) AS BIGINT) AS findings FROM s FULL JOIN f USING (netloc)",
 }

@@ -149,6 +149,20 @@ def test_crawl_reaches_resumes_and_caps(spark, tmp_path):
     assert pipelines.header_stats(answers.join(whole.frontier().select("url", "depth"), "url")).first().missing_headers.startswith('["Content-Security-Policy"')
 
 
+def test_best_first_waves_and_host_probes(spark, tmp_path):
+    one = pipelines.crawl(spark, ["a.test"], site(spark), frontier.Limits(wave_size=1), f"file://{tmp_path}/one")
+    rows = {r.url: r.wave for r in one.frontier().where("kind = 'page'").collect()}
+    fetched = {r.url: n for n in one.waves[:-1] for r in spark.read.parquet(f"{one.path}/responses/wave={n}").collect()}
+    assert set(rows) == {r.url for r in pipelines.crawl(spark, ["a.test"], site(spark), frontier.Limits(), f"file://{tmp_path}/all").frontier().where("kind = 'page'").collect()}
+    assert fetched["https://a.test/about"] < fetched["https://a.test/deep"] < fetched["https://a.test/news/1"]
+    pages = spark.createDataFrame([("https://a.test/robots.txt", "User-agent: *\nDisallow: /x"), ("https://a.test/nf-zz", "lost nf-zz page"), ("https://a.test/", "home"), ("https://b.test/nf-zz", "same"), ("https://b.test/", "same")], "url string, body string")
+    roots = spark.createDataFrame([("https://a.test",), ("https://b.test",), ("https://c.test",), (None,)], "r string")
+    assert [(r.root, r.pattern) for r in pipelines.robots_rules(roots, http.recorded(pages)).collect()] == [("https://a.test", "/x")]
+    assert {r.host: r.mode for r in pipelines.soft404_profiles(roots, http.recorded(pages), "zz").collect()} == {"a.test": "soft200", "b.test": "spa", "c.test": "honest"}
+    assert pipelines.email_report(spark.createDataFrame([("a.test", "x@a.test", "https://a.test/"), ("a.test", "b@a.test", "https://a.test/p")], "site string, email string, first_page string")).first().block == "a.test\n    b@a.test\n        found on: https://a.test/p\n    x@a.test\n        found on: https://a.test/\n  (2 email(s) found)"
+    assert pipelines.with_progress(http.recorded(pages)(pages.select("url"))).count() == 5
+
+
 def test_traversal_visits_each_node_once(spark):
     rng = random.Random(5)
     edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)]
