@@ -49,7 +49,7 @@ def raw_path(url: Column) -> Column:
 def path(url: Column) -> Column:
     """Path without the ``;parameters`` of its last segment (what file-type tests look at)."""
     p = raw_path(url)
-    return F.when(scheme(url).isin(*_WITH_PARAMS), F.regexp_replace(p, r"^((?:.*/)?[^/;]*);.*$", "$1")).otherwise(p)
+    return F.when(scheme(url).isin(*_WITH_PARAMS), F.regexp_replace(p, r"^((?:.*/)?[^/;]*);[^/]*$", "$1")).otherwise(p)
 
 
 def query(url: Column) -> Column:

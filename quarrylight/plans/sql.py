@@ -13,7 +13,7 @@ _O = "o AS (SELECT DISTINCT offer_id, kind, url, source, depth, state FROM front
 _SCHEME = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1))"
 _NETLOC = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
 _RAW_PATH = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
-_PATH = f"regexp_replace({_RAW_PATH}, '^((?:.*/)?[^/;]*);.*$', '\\1')"
+_PATH = f"regexp_replace({_RAW_PATH}, '^((?:.*/)?[^/;]*);[^/]*$', '\\1')"
 _QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
 _SITE = rf"regexp_replace(lower({_NETLOC}), '^www\.', '')"
 _SLASH = f"CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END"

@@ -54,6 +54,8 @@ def test_forms_of_an_address(spark):
     row = spark.createDataFrame([(u,)], "u string").select(urls.site_key(F.col("u")), urls.without_query(F.col("u")), urls.roaming_form(F.col("u")), urls.homepage(F.col("u")), urls.path_prefix(F.col("u"), 1),
                                                            urls.path(F.col("u")), urls.site_file_stem(urls.site_key(F.col("u"))), urls.with_scheme(F.lit("a.test"))).first()
     assert list(row) == ["www.shop.test:8080", "https://www.shop.test:8080/A/b", "https://www.www.shop.test:8080/A/b?q=2", "https://www.www.shop.test:8080/", "A", "/A/b", "www.shop.test_8080", "https://a.test"]
+    odd = ["http://h/a;x/b", "http://h/a;x/b;y", "http://h/;", "http://h/a/;p", "http://h/a;b;c", "x:a;b"]
+    assert values(spark, odd, urls.path(F.col("x"))) == [urlparse(u).path for u in odd]
     assert values(spark, ["http://h", "http://h/", None], urls.path_prefix(F.col("x"))) == ["", "", None]
 
 
