@@ -148,7 +148,7 @@ class Crawl:
         answers = self.spark.read.parquet(fetched)
         links = self.expand(answers, wave)
         place = wave.select(F.col("url"), "depth", F.col("seq").alias("from_seq"))
-        links = links.join(place, "url").select("url", "target", "kind", (F.col("depth") + 1).alias("depth"), (F.col("from_seq") * 100_000 + F.pmod(F.xxhash64("target"), F.lit(100_000))).alias("seq"))
+        links = links.join(place, "url").select("url", "target", "kind", (F.col("depth") + 1).alias("depth"), F.struct("from_seq", F.pmod(F.xxhash64("target"), F.lit(100_000)).alias("place")).alias("seq"))
         scope = self.wave(0).select(urls.site_key(F.col("url")).alias("site"))
         new = R.unseen(candidates(links, self.limits, scope), self.frontier(), ["urlhash"])
         if self.limits.max_per_host:
@@ -158,8 +158,10 @@ class Crawl:
             new = ranked.where(F.coalesce("_used", F.lit(0)) < self.limits.max_per_host).drop("_host", "_used")
         if self.limits.max_rows:
             new = R.global_cap(new, order, self.limits.max_rows, self.frontier().count())
-        if rest is not None:
-            new = new.unionByName(rest.drop("wave"))
+        new = new.withColumn("_late", F.lit(1))
+        if rest is not None:  # what waited was found before
+            new = new.unionByName(rest.drop("wave").withColumn("seq", F.struct(F.col("seq").alias("from_seq"), F.lit(0).cast("long").alias("place"))).withColumn("_late", F.lit(0)))
+        new = _numbered(new, ["_late", "seq", "urlhash"])
         new.withColumn("wave", F.lit(n + 1)).select(*(c.split()[0] for c in FRONTIER.split(", "))).write.mode("overwrite").parquet(f"{self.path}/frontier/wave={n + 1}")
         self._commit([*self.waves, n + 1], False)
         return True
@@ -172,6 +174,11 @@ class Crawl:
         return self
 
 
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``seq`` anew: ascending in ``order``, with gaps, and within 64 bits at any depth."""
+    return rows.orderBy(*order).withColumn("seq", F.monotonically_increasing_id())
+
+
 def traverse(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """(node, depth) of the nodes of ``edges`` (src, dst) within ``most`` steps of ``start`` (node): breadth first, each node once.
 

@@ -297,3 +297,12 @@ def test_entry_names_match():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_deep_crawl_keeps_its_order(spark, tmp_path):
+    # the place of a page far down must fit its number, and follow the places of its parents
+    roots = [f"s{k}.test" for k in range(5)]
+    pages = {f"https://{s}/" if not k else f"https://{s}/c{k}": f'<a href="/c{k + 1}">n</a>' for s in roots for k in range(6)}
+    df = spark.createDataFrame(list(pages.items()), "url string, body string").withColumn("headers", F.create_map(F.lit("Server"), F.lit("x/1"))).repartition(3)
+    got = pipelines.crawl(spark, roots, df, path=f"file://{tmp_path}/deep").frontier().where("depth = 6").orderBy("seq").collect()
+    assert [r.url for r in got] == [f"https://{s}/c6" for s in roots]
