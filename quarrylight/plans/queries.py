@@ -15,7 +15,7 @@ from quarrylight.functions import text as T
 from quarrylight.operators import frontier, hot_keys
 from quarrylight.operators import relational as R
 from quarrylight.plans import pipelines
-from quarrylight.storage import table
+from quarrylight.storage import cut, table
 
 QUERIES: dict = {}
 
@@ -139,7 +139,7 @@ def bot_hostile(spark, d):
 @query
 def hosts_below_domains(spark, d):
     rows = _offers(spark, d).select("offer_id", urls.netloc(F.col("url")).alias("host"))
-    return R.below_domain(rows, "host", table(spark, d, "site_stats").select("netloc").where("netloc LIKE '%.example'")).select("offer_id")
+    return R.below_domain(rows, "host", table(spark, d, "site_stats").select("netloc")).select("offer_id")
 
 
 # --- the frontier -------------------------------------------------------------------------------
@@ -186,9 +186,9 @@ def frontier_first_depth(spark, d):
 
 @query
 def frontier_bfs(spark, d):
-    item = table(spark, d, "lineitem").where("l_orderkey < 400")
     p, s = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    edges = item.select(p.alias("src"), s.alias("dst")).union(item.select(s.alias("src"), p.alias("dst"))).distinct()
+    pairs = cut(table(spark, d, "lineitem").select(p.alias("p"), s.alias("s")).distinct(), "bfs-edges")  # every wave reads them
+    edges = pairs.select(F.col("p").alias("src"), F.col("s").alias("dst")).union(pairs.select(F.col("s").alias("src"), F.col("p").alias("dst")))
     return frontier.traverse(edges, spark.createDataFrame([("s1",)], "node string"), 3)
 
 

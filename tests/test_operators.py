@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight import reports, rules
 from quarrylight.operators import frontier, hot_keys
 from quarrylight.operators import relational as R
-from quarrylight.plans import pipelines
+from quarrylight.plans import pipelines, queries
 from quarrylight.sources import files, http
 from quarrylight.streaming import jobs
 
@@ -306,3 +306,24 @@ def test_a_deep_crawl_keeps_its_order(spark, tmp_path):
     df = spark.createDataFrame(list(pages.items()), "url string, body string").withColumn("headers", F.create_map(F.lit("Server"), F.lit("x/1"))).repartition(3)
     got = pipelines.crawl(spark, roots, df, path=f"file://{tmp_path}/deep").frontier().where("depth = 6").orderBy("seq").collect()
     assert [r.url for r in got] == [f"https://{s}/c6" for s in roots]
+
+
+def test_graph_and_domain_queries_read_whole_tables(spark, tmp_path):
+    rng = random.Random(7)
+    lines = [(rng.choice([1, 399, 400, 90_000]), rng.randrange(40), rng.randrange(1, 12)) for _ in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near: dict = {}
+    for _, p, s in lines:
+        near.setdefault(f"p{p}", set()).add(f"s{s}")
+        near.setdefault(f"s{s}", set()).add(f"p{p}")
+    depth, wave = {"s1": 0}, ["s1"]
+    for d in range(1, 4):
+        wave = {b for a in wave for b in near.get(a, ())} - set(depth)
+        depth |= dict.fromkeys(wave, d)
+    assert {r.node: r.depth for r in queries.QUERIES["frontier_bfs"](spark, str(tmp_path)).collect()} == depth
+
+    hosts = ["a.example", "x.b.test", "b.test", "deep.c.invalid", "notb.test", "d.example"]
+    offers = [(i, "page", f"https://{h}/p", None, 0, 0) for i, h in enumerate(hosts)]
+    spark.createDataFrame(offers, "offer_id long, kind string, url string, source string, depth int, state int").write.parquet(f"{tmp_path}/frontier.parquet")
+    spark.createDataFrame([("a.example",), ("b.test",), ("c.invalid",)], "netloc string").write.parquet(f"{tmp_path}/site_stats.parquet")
+    assert sorted(r.offer_id for r in queries.QUERIES["hosts_below_domains"](spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
