@@ -39,7 +39,7 @@ STEP = 2_000_000
 #: Greatest count a counter holds.
 MOST = (1 << 32) - 1
 
-_POSTING = np.dtype([("token", "<u4"), ("set", "<u8"), ("bits", "<u8"), ("size", "<u2"), ("at", "<u2")])
+_POSTING = np.dtype([("token", "<u4"), ("set", "<u8"), ("bits", "<u8"), ("size", "<u4"), ("at", "<u4")])
 
 
 class Sets:
@@ -160,7 +160,7 @@ class Join:
             tokens = np.where(parts > 1, vectors.finish(tokens + pair.astype(np.uint64)), tokens)
         out = np.empty(len(tokens), _POSTING)
         out["token"], out["set"], out["bits"] = tokens >> np.uint64(32), s.name[owner], bits[owner]
-        out["size"], out["at"] = np.minimum(size, 65535), np.minimum(at, 65535)
+        out["size"], out["at"] = size, at
         return (tokens % np.uint64(buckets)).astype(np.int64), out
 
     def candidates(self, source: DataFrame, counts: np.ndarray) -> DataFrame:

@@ -100,6 +100,20 @@ def test_long_lists_are_cut_without_losing_pairs(monkeypatch):
     assert pairs() == whole and whole
 
 
+def test_very_long_texts_keep_their_pairs():
+    # 200,000 runs each, 160,000 in common; what is their own is rarer and comes first
+    import pyarrow as pa
+
+    join = neardup.Join(run=1, percent=60, least=1)
+    shared = [f"c{x}" for x in range(160_000)]
+    texts = [" ".join([*shared, *(f"{own}{x}" for x in range(40_000))]) for own in "ab"]
+    s = join.sets(pa.RecordBatch.from_pydict({"id": [1, 2], "kind": ["k", "k"], "text": texts}))
+    counts = np.full(neardup.SLOTS, 1, np.uint32)
+    counts[neardup._slot(np.intersect1d(s.tokens[s.owner == 0], s.tokens[s.owner == 1]))] = 2
+    at, rows = join.postings(s, counts, 1)
+    assert len({tuple(sorted(p)) for x, y in join.pairs(rows) for p in zip(x.tolist(), y.tolist())}) == 1
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "find_id long, kind string, text string")
     assert neardup.similar_pairs(empty, neardup.Join()).count() == 0
