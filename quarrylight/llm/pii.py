@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylight.llm.quality import FUNCTION_WORDS
 from quarrylight.llm.vectors import plain
 from quarrylight.storage import cut
 
@@ -43,6 +44,15 @@ nearby standby hobby ruby baby rugby lobby derby valley alley volley trolley bar
 besides sides guides tides slides bridges rides provides overrides playwright copyright wright sixpenny liner opener listener beginner foreigner trainer gardener prisoner miner mariner joiner toner""".split())
 _NOT_GIVEN = frozenset("""the a an this that these those my your his her its our their every each some any another one two more most all both no not even and or but if when while as at by for from in into of on to with
 contact ask blame thanks handmade dear hello welcome copyright dr mr mrs ms prof mx last update code tools design from language doctype words standards chef team crew site call text see page north south east west""".split())
+#: Ordinary words that stand in capitals after a given name that is a word or a brand too (The Iris Gallery), besides those above.
+_THINGS = frozenset("""academy agency album app archive avenue award bank bar basin beach blog book books bridge bureau cafe café camp card castle cathedral center centre chapel church city clinic club code collection college
+community company conference council county court cup dance day days design development doctype document drive edition energy estate event fair farm festival field film fire font forest form forum foundation framework gallery game garden gardens
+group guide hall harbour hill home hospital hotel house inc institute island journal juice kitchen lab labs lake land language layout lane library light limited line lodge ltd magazine mall manor map market media menu mill mountain museum music network news
+office oil page palette park path peak photo place plan planning plaza point pool port portal press prize problem product products project pub record region report republic resort restaurant ridge river road room sauce school sea sensor series server service services
+shop site song space square stadium standards station store story street studio studios style summit sun system systems table team tech temple theater theatre theme ticket times tool tools tour tower town trade trail tree trees trust university update valley version
+view village walk water way web week widget wood woods words work works world year zone january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday""".split()) | FUNCTION_WORDS | _NOT_GIVEN | _NOT_FAMILY
+#: Words after which a given name is part of another name: The Iris Trail.
+_BEFORE = frozenset("the a an this that these those my your his her its our their every each some any another der die das le la les el los las il lo un une una ein eine".split())
 
 _W = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _NUM = r"\d+[a-z]?\d*"
@@ -74,6 +84,10 @@ _INITIALS = r"(?:[ \n][^\W\d_]\.)*"
 REVERSED = re.compile(rf"(?<![\w@.'-])((?:{_PARTICLES}[ \n])?{_FAM}),[ \n]([^\W\d_]{{2,}}{_INITIALS})(?![\w@]|\.\w)", re.I)
 PERSON = re.compile(rf"(?<![\w@.'-])([^\W\d_]{{2,}}){_INITIALS}((?:[ \n]{_PARTICLES})?)[ \n]({_FAM})(?![\w@]|\.\w)", re.I)
 
+_GIVEN = re.compile(r"(?<![\w@.'-])[^\W\d_]{2,}(?:-[^\W\d_]+)?")
+_AFTER = re.compile(rf"{_INITIALS}(?:[ \n]{_PARTICLES})?[ \n]((?:[^\W\d_]['’])?[^\W\d_]{{2,}}(?:['’](?!s\b)[^\W\d_]+|-[^\W\d_]+)*)(?![\w@]|\.\w)", re.I)
+_LISTED_LAST = re.compile(r"(?:^|(?<=: ))((?:[^\W\d_]['’])?[^\W\d_]{2,}(?:['’-][^\W\d_]+)*),[ \n]([^\W\d_]{2,})" + _INITIALS + r"(?=[ \t]*$)", re.M)
+
 #: What a text must have for a type: patterns without counted repeats over the lower-cased text with
 #: single blanks (RE2 runs each as one automaton, in one pass).
 NEAR = {
@@ -109,8 +123,38 @@ def _persons(text: str, names: frozenset[str]) -> Iterator[tuple[int, int]]:
         known = given.lower() in names
         title = given[:1].isupper() and not given.isupper() and family[:1].isupper() and not family.isupper() and given.lower() not in _NOT_GIVEN and len(given) > 2
         if _family(family) and (known or title or _capital_line(text, m.start(), m.end())):
+            taken.append((m.start(), m.end()))
             yield m.start(), m.end()
             at = m.end()
+    for a, b in _listed(text, names):
+        if not any(x < b and a < y for x, y in taken):
+            taken.append((a, b))
+            yield a, b
+
+
+def _listed(text: str, names: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """Listed given names with any family name in capitals that is no ordinary word, whatever its ending."""
+    for m in _LISTED_LAST.finditer(text):
+        if m.group(2).lower() in names and m.group(1).lower() not in names and _any_family(text, m.group(1), m.group(2), m.end()):
+            yield m.start(), m.end()
+    for g in _GIVEN.finditer(text):
+        if not g.group(0)[0].isupper() or g.group(0).split("-")[0].lower() not in names:
+            continue
+        before = re.search(r"([^\W\d_]+)\s$", text[max(0, g.start() - 20):g.start()])
+        if before and before.group(1).lower() in _BEFORE:
+            continue
+        if not (m := _AFTER.match(text, g.end())):
+            continue
+        if m.group(1).lower() in names and (more := _AFTER.match(text, m.end())) and _any_family(text, more.group(1), g.group(0), more.end()):
+            m = more  # a second given name
+        if _any_family(text, m.group(1), g.group(0), m.end()):
+            shouted = before and len(before.group(1)) > 1 and before.group(1).isupper() or re.match(r"\s[^\W\d_]*[A-Z]{2}", text[m.end():])
+            if not (m.group(1).isupper() and shouted):
+                yield g.start(), m.end()
+
+
+def _any_family(text: str, family: str, given: str, end: int) -> bool:
+    return family[0].isupper() and family.isupper() == given.isupper() and not _label_follows(text, end) and all(w.lower() not in _THINGS for w in re.split("['’-]", family))
 
 
 def _capital_line(text: str, begin: int, end: int) -> bool:

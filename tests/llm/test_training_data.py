@@ -324,6 +324,13 @@ def test_details_are_found_and_replaced(spark):
     assert pii.details(df.limit(0), names).count() == 0
 
 
+def test_family_names_of_any_ending_are_found_after_listed_names():
+    names = frozenset(("anna", "maria", "john", "iris", "otis", "viola"))
+    text = ("Anna Weber met Maria Rossi, John A. Smith's aunt, and Otis de la Cruz; Viola O'Brien-Hale and Anna Maria Keller came.\nBy: Weber, Anna\nJOHN SMITH wrote.\n"
+            "The Iris Trail stays, Iris Gallery too. Code: Otis\nTools: none. Yesterday, Anna left. Viola Was here. IRIS CONTACT FORM. anna weber")
+    assert [text[a:b] for a, b, _ in pii.find(text, names)] == ["Anna Weber", "Maria Rossi", "John A. Smith", "Otis de la Cruz", "Viola O'Brien-Hale", "Anna Maria Keller", "Weber, Anna", "JOHN SMITH"]
+
+
 def test_surrogates_keep_distinctness_and_coreference(spark):
     names = spark.createDataFrame([(n,) for n in ("Viola", "Linnea", "Otis", "Tobin")], "given_name string")
     rows = [(i, f"Call 020 7946 {i:04d} or 020-7946-{i:04d}, Otis Lovby.") for i in range(300)] + [(900, "OTIS LOVBY wrote."), (901, None)]
