@@ -4,7 +4,8 @@ A text is residue if it *is* such a thing somewhere, not if it talks about one:
 whole messages and unfilled slots, and leave slots that are named or quoted as such. Messages the
 lists don't know are judged by evidence: a response with the marks of one (a reference number,
 "try again in ...") is residue if the same skeleton (numbers, references and hosts masked) comes
-back under several hosts and shares no term with the words of its own address.
+back under several hosts and shares no term with the words of its own address. A short text without
+any mark, in whatever wording or language, is residue on twice that evidence.
 """
 
 from __future__ import annotations
@@ -100,6 +101,8 @@ DETECTORS = (
     ("weak", ("incident ", "trace ", "(ref ", "request "), r"\b(?:incident|trace|request) [0-9a-f]{6,}|\(ref [0-9a-f]{6,}\)"),
     ("weak", ("again in ", "reload the page", "go back home"), r"\btry again in \d+ (?:minutes|seconds)|\breload the page\b|\bgo back home\b"),
 )
+#: Characters a text without marks may have, and words of letters its skeleton must have, to be judged by hosts and addresses alone.
+SHORT, WORDS = 200, 3
 CLASSES = ("placeholder", "filler", "error_page", "script_notice", "weak")
 
 
@@ -131,15 +134,17 @@ def detect(text: str) -> set[str]:
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         flat = pc.replace_substring_regex(pc.utf8_lower(plain(b.column(1))), r"\s+", " ")
-        rows = np.flatnonzero(pc.match_substring_regex(flat, NEAR).to_numpy(zero_copy_only=False))
-        found = [detect(t) for t in flat.take(pa.array(rows)).to_pylist()]
-        keep = [k for k, f in enumerate(found) if f]
+        near = pc.match_substring_regex(flat, NEAR).to_numpy(zero_copy_only=False)
+        short = pc.less_equal(pc.utf8_length(flat), SHORT).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(near | short)
+        found = [detect(t) if n else set() for n, t in zip(near[rows].tolist(), flat.take(pa.array(rows)).to_pylist())]
+        keep = [k for k, f in enumerate(found) if f or short[rows[k]]]
         part = b.take(pa.array(rows[keep]))
         yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([c in found[k] for k in keep], pa.bool_()) for c in CLASSES)], names=["n", "t", "u", "h", *CLASSES])
 
 
 def marked(df: DataFrame) -> DataFrame:
-    """Rows (n, t, u, h) with any mark, and a boolean for each class."""
+    """Rows (n, t, u, h) with any mark, or short enough to be judged without, and a boolean for each class."""
     return df.select("n", "t", "u", "h").mapInArrow(_marks, df.select("n", "t", "u", "h").schema.simpleString()[7:-1] + "".join(f",{c}:boolean" for c in CLASSES))
 
 
@@ -156,25 +161,30 @@ def slug_terms(url: Column) -> Column:
 
 
 def judged(df: DataFrame, number: str = "find_id", text: str = "text", url: str = "url", host: str = "domain", hosts: int = 3) -> DataFrame:
-    """(number, placeholder, filler, error_page, script_notice, repeated_response) of the texts with any mark.
+    """(number, placeholder, filler, error_page, script_notice, repeated_response) of the texts that are residue.
 
     NULL and empty texts have none. A weak mark counts where its skeleton stands under ``hosts``
-    hosts or more and no word of the own address is in the text; only texts with weak marks alone
-    are compared with others, by 128 hash bits of their skeletons.
+    hosts or more and no word of the own address is in the text. A short text without marks counts
+    where its skeleton stands under twice as many hosts whose addresses have words, none of them in
+    the text, and under at most a ninth as many where one is. Hosts are counted exactly, by 128
+    hash bits of the skeletons; each host of a skeleton is one row before they are met.
     """
     base = df.where(F.col(number).isNotNull() & F.col(text).isNotNull()).select(
         F.col(number).alias("n"), F.col(text).alias("t"), F.col(url).alias("u"), urls.clean_host(F.col(host)).alias("h"))
-    marks = marked(base)
     strong = F.col("placeholder") | F.col("filler") | F.col("error_page") | F.col("script_notice")
-    kept = marks.where(strong | F.col("weak")).withColumn("strong", strong)
-    # few rows, and no texts: written once, so that the three readers below don't each scan the table
-    kept = cut(kept.withColumn("s", F.when(~F.col("strong"), skeleton(F.col("t")))).select(
-        "n", "placeholder", "filler", "error_page", "script_notice", "strong", "h", F.xxhash64("s").alias("s"), F.xxhash64(F.lit(1), "s").alias("z"),
-        F.exists(slug_terms(F.col("u")), lambda w: F.contains(F.lower(F.col("t")), w)).alias("on_topic")), "residue-marks")
+    terms = slug_terms(F.col("u"))
+    # no texts: written once, so that the readers below don't each scan the table
+    kept = marked(base).withColumn("strong", strong).withColumn("s", F.when(~F.col("strong"), skeleton(F.col("t"))))
+    worded = F.size(F.filter(F.split("s", r"[^\p{L}<>]+"), lambda w: w.rlike(r"^\p{L}{2,}$"))) >= WORDS
+    kept = cut(kept.where(F.col("strong") | F.col("weak") | worded).select(
+        "n", "placeholder", "filler", "error_page", "script_notice", "strong", "weak", "h", F.xxhash64("s").alias("s"), F.xxhash64(F.lit(1), "s").alias("z"),
+        (F.size(terms) > 0).alias("slugged"), F.exists(terms, lambda w: F.contains(F.lower(F.col("t")), w)).alias("on_topic")), "residue-marks")
     sure = kept.where("strong").withColumn("repeated_response", F.lit(False))
-    weak = kept.where("NOT strong")
-    spread = weak.groupBy("s", "z").agg(F.approx_count_distinct("h").alias("hosts")).where(F.col("hosts") >= hosts)
-    rest = weak.where("NOT on_topic").join(spread, ["s", "z"], "left_semi").withColumn("repeated_response", F.lit(True))
+    rest = kept.where("NOT strong")
+    each = rest.where("h IS NOT NULL").groupBy("s", "z", "weak", "h").agg(F.bool_or("on_topic").alias("on"), F.bool_or("slugged").alias("told"))
+    spread = each.groupBy("s", "z", "weak").agg(F.count(F.lit(1)).alias("all"), F.count_if("on").alias("on"), F.count_if(F.col("told") & ~F.col("on")).alias("off"))
+    spread = spread.where((F.col("weak") & (F.col("all") >= hosts)) | (~F.col("weak") & (F.col("off") >= 2 * hosts) & (F.col("on") * 9 <= F.col("off"))))
+    rest = rest.where("NOT on_topic").join(spread, ["s", "z", "weak"], "left_semi").withColumn("repeated_response", F.lit(True))
     cols = [F.col("n").alias(number), "placeholder", "filler", "error_page", "script_notice", "repeated_response"]
     return sure.select(*cols).unionByName(rest.select(*cols)).dropDuplicates([number])
 

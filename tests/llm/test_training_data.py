@@ -361,3 +361,14 @@ def test_residue_is_told_from_talk_about_it(spark):
     assert kept == {r[0] for r in rows} - got
     assert residue.judged(df.limit(0)).count() == 0
     assert zlib.crc32(residue.NEAR.encode())  # the pattern compiles for the linear pass as a whole
+
+
+def test_unlisted_messages_are_judged_by_hosts_and_addresses(spark):
+    rows = [(i, f"Oops, something went wrong on our side ({i}).", f"https://a.test/blue-door-{i}", f"host{i}.test") for i in range(6)]
+    rows += [(20 + i, "Hier ist leider gar nichts", "https://a.test/gate", f"host{i}.test") for i in range(6)]
+    rows += [(40 + i, "The blue door of the mill", "https://a.test/blue-door", f"host{i}.test") for i in range(9)]  # what the address says
+    rows += [(60 + i, "A line somebody copied here", "https://a.test/gate", f"host{i % 5}.test") for i in range(9)]  # too few hosts
+    rows += [(80 + i, "Nothing tells what this is", "https://a.test/", f"host{i}.test") for i in range(9)]  # no words to compare with
+    rows += [(100 + i, f"Odd answer, incident {i}00000{i}", "https://a.test/gate", f"host{i}.test") for i in range(3)]
+    df = spark.createDataFrame(rows, "find_id long, text string, url string, domain string").repartition(3)
+    assert sorted(r.find_id for r in residue.judged(df).collect()) == [*range(6), *range(20, 26), *range(100, 103)]
