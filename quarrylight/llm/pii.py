@@ -236,8 +236,10 @@ def details(df: DataFrame, names: DataFrame | None = None, number: str = "find_i
 
     NULL and empty texts have none; texts are read whole, where they lie; other columns are not read.
     """
-    listed = known_names(names)
+    return _details(df, known_names(names), number, text)
+
 
+def _details(df: DataFrame, listed: tuple[str, ...], number: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _frozen(listed)
         for b in batches:
@@ -294,26 +296,65 @@ def norm(kind: str, found: str) -> str:
     return x
 
 
+_AT = re.compile(r"\s?[\[({<]\s?(?:at|@|ä|a)\s?[\])}>]\s?|&(?:#64|#x40|commat);|\s?@\s?|\sat\s", re.I)
+_DOT = re.compile(r"(\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s|\.)", re.I)
+_PARTICLE = frozenset(re.findall(r"\w+", _PARTICLES[3:-1]))
+_KEPT = re.compile(rf"{_STREET}|{_PARTICLES}|suite|flat|apt|apartment|unit|floor|room|rue|avenue|quai|chemin|calle|avenida|plaza|[a-z]{{1,2}}", re.I)
+#: The letters of the syllables in other scripts.
+_SCRIPTS = (("\u0370", "\u03ff", str.maketrans("abdefgklmnoprstvz", "αβδεφγκλμνοπρστβζ")), ("\u0400", "\u04ff", str.maketrans("abdefgklmnoprstvz", "абдефгклмнопрствз")))
+
+
 def surrogate(kind: str, found: str, key: bytes, names: tuple[str, ...], attempt: int = 0) -> str:
-    """A substitute for ``found``: keyed by the detail, alike in type, format, case and gender class."""
-    stream = hmac.new(key, f"{kind}\0{norm(kind, found)}\0{attempt}".encode(), hashlib.sha512).digest()
-    draw = iter(stream * 8)
+    """A substitute for ``found``: keyed by the detail, alike in type, format, case, script and gender class.
+
+    Spellings of one detail get spellings of one substitute: what is drawn depends on ``norm`` only,
+    and is put in the places of the letters and digits of ``found``.
+    """
+    what = norm(kind, found)
+
+    def source(part: str):
+        return iter(hmac.new(key, f"{kind}\0{what}\0{attempt}\0{part}".encode(), hashlib.sha512).digest() * 8)
+
+    draw = source("")
+    word = lambda n, d=draw: "".join(_SOUNDS[next(d) % len(_SOUNDS)] for _ in range(n))
     if kind in ("phone", "id_number"):  # digits for digits, letters for letters; the punctuation stays
-        return "".join(str(next(draw) % 10) if c.isdigit() else chr(65 + next(draw) % 26) if c.isalpha() and c.isupper() else chr(97 + next(draw) % 26) if c.isalpha() else c for c in found)
-    word = lambda n: "".join(_SOUNDS[next(draw) % len(_SOUNDS)] for _ in range(n))
-    if kind == "email":
-        made = f"{word(3)}{next(draw) % 100}@{word(3)}.example"
-    elif kind == "address":
-        return re.sub(_W + r"|\d", lambda m: str(next(draw) % 10) if m.group(0).isdigit() else m.group(0) if re.fullmatch(rf"{_STREET}|{_PARTICLES}|suite|flat|apt|unit|rue|avenue|quai|chemin|calle|avenida|plaza|[a-z]{{1,2}}", m.group(0), re.I) else _cased(word(3), m.group(0)), found)
-    else:
-        first = found.partition(", ")[2] if "," in found else found
-        feminine = first.split()[0].lower().endswith(("a", "e", "is"))
-        pool = [n for n in names if n.endswith(("a", "e", "is")) == feminine] or [word(2)]
-        given, family = pool[next(draw) * 256 + next(draw) if len(pool) > 65535 else (next(draw) * 256 + next(draw)) % len(pool)], word(3)
-        a, b = (family, given) if "," in found else (given, family)
-        sample = found.replace(",", "").split()
-        return _cased(a, sample[0]) + (", " if "," in found else " ") + _cased(b, sample[-1])
-    return _cased(made, found, whole=True)
+        return "".join(str(next(draw) % 10) if c.isdigit() else chr((65 if c.isupper() else 97) + next(draw) % 26) if c.isalpha() else c for c in found)
+    if kind == "email":  # the at and the dots as they are written
+        at = _AT.search(found)
+        parts = _DOT.split(found[at.end():])
+        parts[::2] = [*(word(2) for _ in parts[2::2]), "example"]
+        local = f"{word(3)}{next(draw) % 100}"
+        return _cased(local, found, True) + at.group(0) + "".join(p if k % 2 else _cased(p, found, True) for k, p in enumerate(parts))
+    if kind == "address":
+        return re.sub(_W + r"|\d", lambda m: str(next(draw) % 10) if m.group(0).isdigit() else m.group(0) if _KEPT.fullmatch(m.group(0)) else _cased(_scripted(word(3), m.group(0)), m.group(0)), found)
+    # a name: the given one from the list, the family's words, the letters of initials; particles stay
+    comma = found.find(",")
+    words = list(re.finditer(r"[^\W\d_]+", found))
+    given_at = next((m.start() for m in words if m.start() > comma), 0)
+    feminine = next((m.group(0) for m in words if m.start() == given_at), "").lower().endswith(("a", "e", "is"))
+    family, initials = source("family"), source("initials")
+    pool = [n for n in names if n.endswith(("a", "e", "is")) == feminine] or [word(2)]
+    given = pool[(next(draw) * 65536 + next(draw) * 256 + next(draw)) % len(pool)]
+
+    def made(m: re.Match) -> str:
+        x, after = m.group(0), found[m.end():m.end() + 1]
+        if m.start() == given_at:
+            return _cased(given if _scripted("a", x) == "a" else _scripted(word(2), x), x)
+        if len(x) == 1 and after == ".":
+            return _cased(_scripted("abdefgklmnoprstvz"[next(initials) % 17], x), x, not x.isupper())
+        if x.lower() in _PARTICLE or len(x) == 1:
+            return x
+        return _cased(_scripted(word(3, family), x), x)
+
+    return re.sub(r"[^\W\d_]+", made, found)
+
+
+def _scripted(made: str, like: str) -> str:
+    """``made`` in the script of ``like``: Greek, Cyrillic, else Latin."""
+    for low, high, letters in _SCRIPTS:
+        if low <= like[0] <= high:
+            return made.translate(letters)
+    return made
 
 
 def _cased(made: str, like: str, whole: bool = False) -> str:
@@ -323,22 +364,21 @@ def _cased(made: str, like: str, whole: bool = False) -> str:
 
 
 def surrogates(df: DataFrame, key: bytes, names: DataFrame | None = None, number: str = "find_id", text: str = "text", rounds: int = 16) -> DataFrame:
-    """(pii_type, entity, surrogate): every different detail of the table with its own substitute.
+    """(pii_type, entity, surrogate): see ``_drawn``."""
+    return _drawn(df, key, known_names(names), number, text, rounds).select("pii_type", "entity", "surrogate")
+
+
+def _drawn(df: DataFrame, key: bytes, listed: tuple[str, ...], number: str, text: str, rounds: int = 16) -> DataFrame:
+    """(pii_type, entity, surrogate, attempt): every different detail of the table with its own substitute.
 
     A substitute that two details would share, or that is itself a detail of the table, is drawn
     again for all but one of them, until none is left (``rounds`` at most; more is an error).
     """
-    listed = known_names(names)
-
-    @F.pandas_udf("string")
-    def entity(kind, found):
-        return found.combine(kind, lambda f, k: norm(k, f))
-
     @F.pandas_udf("string")
     def drawn(kind, what, attempt):
         return kind.combine(what, lambda k, w: (k, w)).combine(attempt, lambda kw, n: surrogate(kw[0], kw[1], key, listed, int(n)))
 
-    every = details(df, names, number, text).select("pii_type", entity("pii_type", "found").alias("entity")).distinct()
+    every = _details(df, listed, number, text).select("pii_type", _entity()("pii_type", "found").alias("entity")).distinct()
     rows = cut(every.withColumn("attempt", F.lit(0)), "surrogates").withColumn("surrogate", drawn("pii_type", "entity", "attempt"))
     for _ in range(rounds):
         rows = cut(rows, "surrogates")
@@ -346,7 +386,42 @@ def surrogates(df: DataFrame, key: bytes, names: DataFrame | None = None, number
         real = rows.select("pii_type", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         judged = cut(rows.withColumn("again", again).join(real, ["pii_type", "surrogate"], "left").withColumn("again", F.col("again") | F.coalesce("real", F.lit(False))).drop("real"), "surrogates")
         if not judged.where("again").limit(1).count():
-            return judged.select("pii_type", "entity", "surrogate")
+            return judged.select("pii_type", "entity", "surrogate", "attempt")
         fresh = judged.where("again").withColumn("attempt", F.col("attempt") + 1)
         rows = judged.where("NOT again").drop("again").unionByName(fresh.withColumn("surrogate", drawn("pii_type", "entity", "attempt")).drop("again"))
     raise RuntimeError("surrogates still collide: the key space of a type is too small")
+
+
+def _entity():
+    @F.pandas_udf("string")
+    def entity(kind, found):
+        return found.combine(kind, lambda f, k: norm(k, f))
+
+    return entity
+
+
+def replaced(df: DataFrame, key: bytes, names: DataFrame | None = None, number: str = "find_id", text: str = "text") -> DataFrame:
+    """(number, text, details): each text with its details replaced by their surrogates, each in the spelling found, and their number.
+
+    Every row comes out; a NULL text stays NULL. Only the few details drawn again because of a
+    collision are joined with the texts; all others follow from the key alone.
+    """
+    listed = known_names(names)
+    again = _drawn(df, key, listed, number, text).where("attempt > 0").select("pii_type", "entity", "attempt")
+    own = _details(df, listed, number, text).withColumn("entity", _entity()("pii_type", "found")).join(again, ["pii_type", "entity"])
+    own = own.groupBy(F.col(number).alias("_n")).agg(F.collect_list(F.struct("pii_type", "entity", "attempt")).alias("_again"))
+    rows = df.select(number, F.col(text).cast("string")).join(own, F.col(number).eqNullSafe(F.col("_n")), "left").drop("_n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _frozen(listed)
+        for b in batches:
+            texts, counts = b.column(1).to_pylist(), [0] * b.num_rows
+            for k, t, spans in _spans(plain(b.column(1)), known):
+                attempts = {(x["pii_type"], x["entity"]): x["attempt"] for x in b.column(2)[k].as_py() or ()}
+                for i, j, kind in reversed(spans):
+                    t = t[:i] + surrogate(kind, t[i:j], key, listed, attempts.get((kind, norm(kind, t[i:j])), 0)) + t[j:]
+                texts[k], counts[k] = t, len(spans)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=[number, "text", "details"])
+
+    kind = df.schema[number].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{number}` {kind}, text string, details int")

@@ -54,6 +54,10 @@ def p4_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return pii.surrogates(table(spark, d, "finds"), b"public example key", table(spark, d, "given_names"))
 
 
+def p4_surrogate_texts(spark: SparkSession, d: str) -> DataFrame:
+    return pii.replaced(table(spark, d, "finds"), b"public example key", table(spark, d, "given_names"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.judged(table(spark, d, "finds")).select("find_id")
 
@@ -91,5 +95,5 @@ def p9_repetition(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_error_rate, p3_found, p3_statistics, p4_found, p4_redacted, p4_surrogates,
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_error_rate, p3_found, p3_statistics, p4_found, p4_redacted, p4_surrogates, p4_surrogate_texts,
                                        p6_found, p6_clean_finds, p7_found, p7_reparameterised, p8_mix, p8_shares, p9_found, p9_repetition)}

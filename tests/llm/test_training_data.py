@@ -344,6 +344,20 @@ def test_surrogates_keep_distinctness_and_coreference(spark):
     assert a.split()[0] in ("Anna", "Mia") and pii.surrogate("person", "OSTBY, VIOLA", b"k", ("Anna", "Mia")).isupper()
 
 
+def test_surrogates_are_put_into_the_texts(spark):
+    a, b = "Call 020 7946 0001, ask", "or 020-7946-0001; OTIS T. van LOVBY. By Lovby, Otis"
+    rows = [(1, f"{a} Otis T. van Lovby <otis@post.mill.example>."), (2, f"{b} otis [at] post [dot] mill [dot] example."), (3, None), (4, "nothing here")]
+    names = spark.createDataFrame([(n,) for n in ("Otis", "Tobin", "Ulrik")], "given_name string")
+    df = table(spark, rows, "find_id long, text string")
+    out = {r.find_id: r for r in pii.replaced(df, b"k", names).collect()}
+    assert out[3].text is None and out[4].text == "nothing here" and out[1].details == 3 and out[2].details == 4
+    x, y = (re.fullmatch(p, out[k].text) for k, p in ((1, r"Call (\d{3} \d{4} \d{4}), ask (\w+ \w\. van \w+) <(\w+@\w+\.\w+\.example)>\."), (2, r"or (\d{3}-\d{4}-\d{4}); (\w+ \w\. van \w+)\. By (\w+, \w+) (\w+ \[at\] \w+ \[dot\] \w+ \[dot\] example)\.")))
+    assert x[1].replace(" ", "") == y[1].replace("-", "") != "02079460001"
+    assert y[2].replace("van", "VAN").isupper() and x[2].lower() == y[2].lower() and pii.norm("email", x[3]) == pii.norm("email", y[4])
+    assert not any(w in (out[1].text + out[2].text).lower() for w in ("lovby", "mill", "otis@"))
+    assert re.fullmatch("[А-я]+ [А-я]+", pii.surrogate("person", "Анна Петрова", b"k", ("anna",)))
+
+
 # --- residue ------------------------------------------------------------------------------------
 RESIDUE = ["Hello {{user_name}}, the widget is ready", "Dear undefined, thanks for it", "Welcome to [insert old dock], where", "Copyright %%YEAR_NOW%%, keeper", "Lorem ipsum dolor sit amet, quisque",
            "404\nNot Found\nnginx", "Page introuvable sur mill.example.", "Please enable\nJavaScript to see mill.test.", "noscript: content hidden", "Your subheading about the boat here"]
