@@ -3,8 +3,8 @@
 Per text: counts and ratios of words, symbols, punctuation and common words, and three measures of
 layout: how far delimiters stand in line with each other vertically, how regularly lines begin
 alike, and the autocorrelation of line lengths. The judgement is by *words*: a word belongs to
-prose if a function word stands close to it and its line is no table row, list item or
-label-value line; a text is not prose if most of its words don't.
+prose if a function word stands close to it and its line is no table row, list item (marked, or one
+of several short lines indented alike) or label-value line; a text is not prose if most of its words don't.
 """
 
 from __future__ import annotations
@@ -65,6 +65,11 @@ def _row_of(line: str) -> tuple[str, int] | None:
     return ("  ", n) if n >= 1 else None
 
 
+def _item_of(line: str) -> bool:
+    """Whether an indented line is short and ends in no sentence, as no line of a wrapped paragraph but its last is."""
+    return len(line.split()) <= 6 and line.rstrip()[-1:] not in (".", "!", "?", ",", ";", "…")
+
+
 def layout(text: str) -> tuple[float, float, float, list[bool]]:
     """(alignment, periodicity, autocorrelation, structural) of a text of several lines.
 
@@ -78,6 +83,7 @@ def layout(text: str) -> tuple[float, float, float, list[bool]]:
     if len(full) < 2:
         return 0.0, 0.0, 0.0, structural
     rows = {k: _row_of(lines[k]) for k in full}
+    indents = {k: len(x) - len(x.lstrip()) if (x := lines[k].expandtabs(4))[:2] == "  " else 0 for k in full}
     kinds = Counter(r for r in rows.values() if r)
     marks: dict[int, str] = {}
     for k in full:
@@ -88,6 +94,9 @@ def layout(text: str) -> tuple[float, float, float, list[bool]]:
             marks[k] = "bullet"
         elif _LABEL.match(x) and len(x.split()) <= 8:
             marks[k] = "label"
+    indented = {k: x for k, d in indents.items() if d and (x := _item_of(lines[k])) and k not in marks}
+    if len(indented) >= 3 and len(indented) * 3 >= 2 * sum(d > 0 for d in indents.values()):  # else a wrapped paragraph
+        marks |= dict.fromkeys(indented, "indent")
     aligned = [k for a, k in zip(full, full[1:]) if rows[k] and rows[k] == rows[a]]
     tabular = {k for k in full if rows[k] and kinds[rows[k]] >= 3 and (rows[k][0] != "," or _few_function_words(lines[k]))}
     counts = Counter(marks.values())
@@ -96,6 +105,8 @@ def layout(text: str) -> tuple[float, float, float, list[bool]]:
         kind = marks.get(k)
         if k in tabular:
             structural[k] = True
+        elif kind == "indent":
+            structural[k] = any(indents[j] == indents[k] and marks.get(j) == "indent" for j in full if 0 < abs(j - k) <= 3)
         elif kind == "label":
             structural[k] = counts["label"] >= 3 and counts["label"] * 3 >= 2 * (len(full) - 1)
         elif kind:

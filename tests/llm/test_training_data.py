@@ -303,6 +303,15 @@ def test_prose_is_told_from_other_forms(spark):
     assert quality.statistics(df.limit(0)).count() == 0
 
 
+def test_indented_lists_are_no_prose():
+    import pyarrow as pa
+
+    listed = "What is in it\n    the lamp of the hill\n    the door to the mill\n        a map of it\n        all of the keys\n    the cat and the hat\n    a boat for two"
+    wrapped = "Notes\n    The crew must clean one damp form and visit your\n    layout before the fair, because nobody wanted to see\n    it at all. Then they went home with the lamp and\n    the map"
+    m = quality.measure(pa.array([listed, wrapped]))
+    assert m["loose_words"][0] * 2 > m["n_words"][0] and m["loose_words"][1] == 0 and m["periodicity"][0] > 0.5
+
+
 # --- personal details ---------------------------------------------------------------------------
 TEXT = ("Contact Viola T. Stavford-Ostby <viola@post.mill.example> or +49 (0)30 23125 304 about it. Ticket 618-7307, part X375-019429.\n"
         "Passport no.: X0L487864; write to ask at mill dot test. Our office (740 W. Oak Drive, Suite 23, Lowtown, ZZ 00898) is open. The Iris Trail stays. "
