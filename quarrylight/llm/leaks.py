@@ -22,6 +22,8 @@ from quarrylight.llm import vectors
 RUN = 12
 #: Items of up to this many words in all are sent to every task (16 bytes a word, 64 MB); more are joined by a shuffle.
 SENT_WORDS = 4_000_000
+#: Given names a list may have.
+MOST_NAMES = 200_000
 #: Words that are units, and numbers written out (fixed values).
 UNITS = ("second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
          "euro", "euros", "dollar", "dollars", "pound", "pounds", "cent", "cents", "percent", "px", "ms", "km", "cm", "mm", "kg", "mb", "gb")
@@ -105,7 +107,7 @@ def _match(ids: np.ndarray, texts: pa.Array, items: Items) -> pa.RecordBatch:
             own, theirs = items.exact[p:p + size], exact[b:b + size]
             differs = own != theirs
             changed = int(differs.sum())
-            if changed and not _consistent(own[differs], theirs[differs]):
+            if changed and not _consistent(own, theirs):
                 continue
             row = best.setdefault((d, i), [False, 0, changed])
             row[0] |= not changed
@@ -116,11 +118,13 @@ def _match(ids: np.ndarray, texts: pa.Array, items: Items) -> pa.RecordBatch:
 
 
 def _names(names: DataFrame | None) -> frozenset[str]:
-    """Given names, lower case; a list longer than 100,000 names is left out of the placeholders."""
+    """Given names, lower case; at most MOST_NAMES are taken to the tasks (more is an error)."""
     if names is None:
         return frozenset()
-    rows = names.limit(100_001).collect()
-    return frozenset(r[0].strip().lower() for r in rows if r[0] and r[0].strip()) if len(rows) <= 100_000 else frozenset()
+    rows = names.limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"a list of given names has at most {MOST_NAMES:,} entries")
+    return frozenset(r[0].strip().lower() for r in rows if r[0] and r[0].strip())
 
 
 def leaked(documents: DataFrame, items: DataFrame, names: DataFrame | None = None, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
@@ -181,6 +185,6 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, names: frozenset[str]) -> Dat
     of_items = _windows_of(items, names, sizes, True).withColumnsRenamed({"id": "item_id", "words": "own"}).distinct()
     met = _windows_of(docs, names, sizes, False).withColumnRenamed("id", "doc_id").join(of_items, ["size", "key"])
     slots = F.filter(F.arrays_zip("own", "words"), lambda z: z["own"] != z["words"])
-    steady = F.size(F.array_distinct(slots)) == F.size(F.array_distinct(F.transform(slots, lambda z: z["own"])))
+    steady = F.size(F.array_distinct(F.arrays_zip("own", "words"))) == F.size(F.array_distinct("own"))
     return (met.select("doc_id", "item_id", F.size(slots).cast("long").alias("changed"), steady.alias("steady")).where("steady")
             .groupBy("doc_id", "item_id").agg(F.bool_or(F.col("changed") == 0).alias("exact"), F.count(F.lit(1)).alias("windows"), F.max("changed").alias("changed")))

@@ -238,6 +238,18 @@ def test_reparameterised_items_are_told_from_chance(spark, monkeypatch, sent):
     assert {(r.doc_id, r.exact) for r in rows if r.windows == 4} == {(1, False)}
 
 
+@pytest.mark.parametrize("sent", [4_000_000, 1])
+def test_a_slot_that_is_kept_and_changed_is_no_item(spark, monkeypatch, sent):
+    monkeypatch.setattr(leaks, "SENT_WORDS", sent)
+    item = spark.createDataFrame([(1, "if 5 boats leave every 5 minutes how many leave by noon")], "item_id long, text string")
+    docs = [(1, "If 5 boats leave every 7 minutes how many leave by noon?"), (2, "If 7 boats leave every 7 minutes how many leave by noon?")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r.doc_id for r in leaks.leaked(df, item).collect()] == [2]
+    monkeypatch.setattr(leaks, "MOST_NAMES", 1)
+    with pytest.raises(ValueError):
+        leaks.leaked(df, item, spark.createDataFrame([("Otis",), ("Viola",)], "given_name string"))
+
+
 # --- mixtures -----------------------------------------------------------------------------------
 def test_plan_meets_shares_and_caps():
     capacity = {("a",): 1000, ("a", "b"): 200, ("b",): 50, ("c",): 10}
