@@ -10,9 +10,9 @@ is the *remainder*, all that is stored of the key. A bucket is kept as
 
 so that a key costs its remainder and about three bits. Buckets are sorted; two of them merge by
 one pass, and a quotient bit is taken from the remainder when the merged bucket has outgrown its
-runs. Offers are taken in the order of their number, in blocks; each block asks the filter of the
-blocks before it and then joins it, and filters of like size are merged (a cascade), so that each
-key is moved a logarithmic number of times.
+runs. Offers are taken in the order of their number, in blocks; each block's filter is stored, asked
+of the filters of the blocks before it and then merged with them, filters of like size at a time (a
+cascade), so that each key is moved a logarithmic number of times.
 
 Wrong answers are of one kind: a new key reported as seen because it shares another key's
 fingerprint. ``error_report`` derives their rate from the fill and measures it against whole keys.
@@ -28,9 +28,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Fingerprint width of the queries, rows a bucket is planned for, offers in a block.
-BITS, BUCKET_ROWS, BLOCK_ROWS = 56, 1 << 18, 1 << 15
+from quarrylight.storage import cut
+
+#: Fingerprint width of the queries, rows a bucket is planned for, offers in a block: least (a 1024th of the input beyond that) and most.
+BITS, BUCKET_ROWS, BLOCK_ROWS, MOST_BLOCK_ROWS = 56, 1 << 20, 1 << 15, 1 << 21
 
 
 class Run:
@@ -207,24 +210,130 @@ def _prepared(df: DataFrame, number: str, key: Column, lead: int | None) -> tupl
     return _keyed(df, number, key).mapInArrow(_first_of_partition(bits), "part long, number long, fp long, check long, known boolean"), bits
 
 
-def seen_before(df: DataFrame, number: str, key: Column, width: int = BITS, lead: int | None = None, block: int = BLOCK_ROWS) -> DataFrame:
-    """Numbers of the rows whose key stands at a smaller number too, each number once.
+# --- the operator: blocks of offers, stored filters, an exact check of what they say ------------
+_CELL = "kind int, block int, bucket int, width int, quotient_bits int, keys long, remainder_bytes int, occupied binary, continues binary, remainders binary"
+_CELL_SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("width", pa.int32()), ("quotient_bits", pa.int32()), ("keys", pa.int64()),
+                          ("remainder_bytes", pa.int32()), ("occupied", pa.binary()), ("continues", pa.binary()), ("remainders", pa.binary())])
+_MARKS = "block int, bucket int, seen binary, elsewhere binary"
 
-    The filter answers; those it calls seen are then held against 128 hash bits of the key, so
-    that no wrong answer of the filter remains. Rows without key or number are never seen; an
-    empty table gives no rows; a row delivered twice under its number is one row. Other columns
-    of ``df``, whatever their names, are not looked at.
-    """
-    rows, bits = _prepared(df, number, key, lead)
 
-    def run(table: pa.Table) -> pa.Table:
-        numbers, fp, check, said, _ = _blocks(table, width, bits, block)
-        seen = said & _repeated(fp, check, numbers)
-        known = table.filter(table.column("known")).column("number").to_numpy()
-        return pa.table({"number": np.concatenate([numbers[seen], known])})
+def _sorted_block(number: np.ndarray, fp: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by fingerprint, key and number, and whether each is the first of its key."""
+    order = np.lexsort((number, check, fp.view(np.uint64)))
+    number, fp, check = number[order], fp[order], check[order]
+    start = np.r_[True, (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])] if len(fp) else np.zeros(0, bool)
+    return number, fp, check, start
+
+
+def _bounds(df: DataFrame, number: str, blocks: int, rows: int) -> np.ndarray:
+    """Numbers at which blocks begin, from a draw of about twenty a block, as a range exchange draws its bounds: sizes vary a little, no result does."""
+    drawn = df.select(F.col(number).cast("long").alias("n")).where("n IS NOT NULL").sample(min(1.0, 20.0 * blocks / rows), seed=7)
+    drawn = np.sort(np.array([r.n for r in drawn.toLocalIterator()], np.int64))  # twenty longs a block
+    return np.unique(drawn[(np.arange(1, blocks) * len(drawn)) // blocks]) if len(drawn) else drawn
+
+
+def _stored(df: DataFrame, number: str, key: Column, width: int, lead: int | None, block: int | None) -> tuple[DataFrame, int]:
+    """Cells in shared storage: for each block of offers its rows (kind 1), sorted by key, and its filter, a bucket a cell (kind 0)."""
+    rows = df.count()
+    size = block or min(max(rows // 1024, BLOCK_ROWS), MOST_BLOCK_ROWS)
+    bits = bucket_bits(rows) if lead is None else lead
+    bounds = _bounds(df, number, -(-rows // size), rows) if rows > size else np.zeros(0, np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(bounds, b.column(0).to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *b.columns], names=["block", "number", "fp", "check"])
 
-    return (rows.groupBy("part").applyInArrow(run, "number long").dropDuplicates(["number"])
-            .select(F.col("number").alias(number)))
+    def build(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        number, fp, check, _ = _sorted_block(*(table.column(c).to_numpy() for c in ("number", "fp", "check")))
+        whole = np.unique(fp.view(np.uint64) >> np.uint64(64 - width))
+        bucket = (whole >> np.uint64(width - bits)).astype(np.int64)
+        rows = [{"kind": 1, "block": block, "bucket": None, "width": width, "quotient_bits": None, "keys": len(number), "remainder_bytes": None,
+                 "occupied": number.tobytes(), "continues": fp.tobytes(), "remainders": check.tobytes()}]
+        for k, own in zip(*_runs(bucket)):
+            rows.append({"kind": 0, "block": block, "bucket": int(k)} | Run.of(whole[own] & np.uint64((1 << (width - bits)) - 1), width - bits).columns())
+        return pa.Table.from_pylist(rows, schema=_CELL_SCHEMA)
+
+    placed = _keyed(df, number, key).mapInArrow(place, "block int, number long, fp long, check long")
+    return cut(placed.groupBy("block").applyInArrow(build, _CELL), "seen-cells"), bits
+
+
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """Distinct values of a sorted array and where each stands."""
+    values, begin = np.unique(sorted_values, return_index=True)
+    return values, [slice(i, j) for i, j in zip(begin, np.r_[begin[1:], len(sorted_values)])]
+
+
+def _ask(table: pa.Table) -> pa.Table:
+    """A bucket's filters in the order of their blocks: each is asked of the merged filter of those before, then joins it.
+
+    Nothing but filters is held. For each block: which of its fingerprints stand in earlier
+    blocks, and which in any other block (where the exact check may find the first offer).
+    """
+    runs = sorted(((r["block"], Run.read(r)) for r in table.to_pylist()), key=lambda x: x[0])
+    before, said, several = Cascade(runs[0][1].width), [], []
+    for _, run in runs:
+        own = run.fingerprints()
+        seen = before.has(own)
+        said.append(seen)
+        several.append(own[seen])
+        before.add(own[~seen])
+    several = np.unique(np.concatenate(several))
+    out = []
+    for (block, run), seen in zip(runs, said):
+        out.append({"block": block, "bucket": table.column("bucket")[0].as_py(), "seen": np.packbits(seen).tobytes(), "elsewhere": np.packbits(np.isin(run.fingerprints(), several)).tobytes()})
+    return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("seen", pa.binary()), ("elsewhere", pa.binary())]))
+
+
+def seen_before(df: DataFrame, number: str, key: Column, width: int = BITS, lead: int | None = None, block: int | None = None) -> DataFrame:
+    """Numbers of the rows whose key stands at a smaller number too, each number once.
+
+    Offers are cut in blocks by number; each block's keys become a quotient filter, stored in
+    shared storage, a cell a bucket. A bucket's filters are asked and merged in the order of the
+    blocks, so a task holds filters, never the keys before. What a filter calls new is new. What
+    it calls seen, in its block or in an earlier one, is held against 128 hash bits of the key,
+    within the block where the first offer is there, else against the stored first offers of the
+    blocks that have the fingerprint: no wrong answer of the filter remains.
+
+    A key with a third of all rows is one entry of each block's filter and one row of each block
+    in the exact check. Rows without key or number are never seen; an empty table gives no rows;
+    a row delivered twice under its number is one row. Other columns of ``df``, whatever their
+    names, are not looked at.
+    """
+    cells, bits = _stored(df, number, key, width, lead, block)
+    marks = cells.where("kind = 0").groupBy("bucket").applyInArrow(_ask, _MARKS)
+
+    def judge(rows: pa.Table, marks: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        if rows.num_rows:
+            number, fp, check = (np.frombuffer(rows.column(c)[0].as_buffer(), np.int64) for c in ("occupied", "continues", "remainders"))
+            short = fp.view(np.uint64) >> np.uint64(64 - width)
+            values, at, times = np.unique(short, return_inverse=True, return_counts=True)
+            seen, elsewhere = np.zeros(len(values), bool), np.zeros(len(values), bool)
+            bucket, places = _runs((values >> np.uint64(width - bits)).astype(np.int64))
+            where = dict(zip(bucket.tolist(), places))
+            for m in marks.to_pylist():
+                own = where[m["bucket"]]
+                n = own.stop - own.start
+                seen[own] = np.unpackbits(np.frombuffer(m["seen"], np.uint8))[:n]
+                elsewhere[own] = np.unpackbits(np.frombuffer(m["elsewhere"], np.uint8))[:n]
+            # the block's own filter calls every fingerprint but the first seen; only those are looked at
+            asked = (times > 1)[at]
+            _, _, _, start = _sorted_block(number, fp, check)  # the rows are sorted already
+            first = number[np.maximum.accumulate(np.where(start, np.arange(len(fp)), 0))] if len(fp) else number
+            here = asked & (number > first)
+            left = start & (seen | elsewhere)[at]
+            found = [np.r_[np.unique(number[here]), number[left]], np.r_[np.zeros(len(np.unique(number[here])), np.int64), fp[left]],
+                     np.r_[np.zeros(len(np.unique(number[here])), np.int64), check[left]], np.r_[np.full(len(np.unique(number[here])), 2), seen[at][left].astype(np.int64)]]
+        return pa.table({"number": found[0], "fp": found[1], "check": found[2], "asked": found[3].astype(np.int32)}, schema=pa.schema([("number", pa.int64()), ("fp", pa.int64()), ("check", pa.int64()), ("asked", pa.int32())]))
+
+    stored = cells.where("kind = 1").select("block", "occupied", "continues", "remainders")
+    told = stored.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(judge, "number long, fp long, check long, asked int")
+    told = cut(told, "seen-told")  # 2: seen within its block; 1: a filter of earlier blocks says so; 0: a first offer it may have meant
+    least = F.min("number").over(Window.partitionBy("fp", "check"))
+    across = told.where("asked < 2").withColumn("first", least).where("asked = 1 AND number > first").select("number")
+    return told.where("asked = 2").select("number").unionByName(across).dropDuplicates(["number"]).select(F.col("number").alias(number))
 
 
 def error_report(df: DataFrame, number: str, key: Column, widths: tuple[int, ...] = (20, 24, 28, 32, 40, 56), lead: int | None = None) -> DataFrame:

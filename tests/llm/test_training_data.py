@@ -151,6 +151,21 @@ def test_seen_before_equals_brute_force(spark):
     assert seen.seen_before(df.limit(0), "offer_id", F.col("k")).count() == 0
 
 
+def test_what_the_filter_says_decides(spark, monkeypatch):
+    # keys of many partitions whose repeats are all in later blocks
+    rows = [(b * 100 + i, f"k{i}") for b in range(4) for i in range(100)]
+    df = table(spark, rows, "offer_id long, k string").repartition(8)
+    assert seen.seen_before(df, "offer_id", F.col("k"), block=100).count() == 300
+    sound = seen._ask
+
+    def blind(t):
+        out = sound(t)
+        return out.set_column(2, "seen", seen.pa.array([b"\0" * len(x.as_py()) for x in out.column("seen")], seen.pa.binary()))
+
+    monkeypatch.setattr(seen, "_ask", blind)
+    assert seen.seen_before(df, "offer_id", F.col("k"), block=100).count() < 50  # what is left stands in one block
+
+
 def test_error_report_measures_what_it_derives(spark):
     df = spark.range(1, 20001).select(F.col("id").alias("offer_id"), F.concat(F.lit("key"), F.col("id")).alias("k"))
     rows = {r.bits: r for r in seen.error_report(df, "offer_id", F.col("k"), widths=(16, 18, 48)).collect()}
