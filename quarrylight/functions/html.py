@@ -117,25 +117,28 @@ def _attr(name: str) -> Column:
 
 
 def links(parsed: DataFrame, scope: DataFrame | None = None, allow_external: bool = False) -> DataFrame:
-    """(url, target, kind) of the references of pages; kind ``page`` for what is to be crawled.
+    """(url, target, kind, ord) of the references of pages; kind ``page`` for what is to be crawled.
 
     Without ``scope`` every anchor is a page; with it (a table of sites) anchors and scripts of
     those sites are, and others are ``external link`` and ``script`` resources. Images,
-    stylesheets, icons and frames are resources. Page links come once a page, resources as often as they stand.
+    stylesheets, icons and frames are resources. Page links come once a page, in the place of the
+    first of them; resources as often as they stand.
     """
     rel = F.lower(F.coalesce(_attr("rel"), F.lit("")))
     href = (F.when(F.col("tag").isin("a", "link"), _attr("href")).when(F.col("tag").isin("img", "iframe", "script"), _attr("src")))
     kind = (F.when(F.col("tag") == "a", "page").when(F.col("tag") == "img", "image").when(F.col("tag") == "iframe", "iframe").when(F.col("tag") == "script", "script")
             .when((F.col("tag") == "link") & (rel.contains("stylesheet") | rel.contains("icon")), "stylesheet"))
-    found = parsed.select("url", href.alias("href"), kind.alias("kind")).where("href IS NOT NULL AND kind IS NOT NULL")
-    found = found.select("url", urls.resolve(F.col("url"), F.col("href")).alias("target"), "kind").where("target IS NOT NULL")
+    found = parsed.select("url", "ord", href.alias("href"), kind.alias("kind")).where("href IS NOT NULL AND kind IS NOT NULL")
+    found = found.select("url", urls.resolve(F.col("url"), F.col("href")).alias("target"), "kind", "ord").where("target IS NOT NULL")
     if scope is not None:
         sites = scope.select(urls.site_form(F.col(scope.columns[0])).alias("_site"), F.lit(True).alias("_in")).distinct()
         found = found.withColumn("_site", urls.site_key(F.col("target"))).join(sites, "_site", "left")
         inside = F.coalesce("_in", F.lit(allow_external))
-        found = found.select("url", "target", F.when(F.col("kind").isin("page", "script") & inside, "page").when(F.col("kind") == "page", "external link").otherwise(F.col("kind")).alias("kind"))
-    pages = found.where("kind = 'page'").distinct()
-    return pages.unionByName(found.where("kind <> 'page'"))
+        found = found.select("url", "target", F.when(F.col("kind").isin("page", "script") & inside, "page").when(F.col("kind") == "page", "external link").otherwise(F.col("kind")).alias("kind"), "ord")
+    # one pass for both kinds (two branches would parse every page twice): a resource keeps its places
+    places = F.when(F.col("kind") == "page", F.array(F.min("ord"))).otherwise(F.array_sort(F.collect_list("ord")))
+    own = F.when(F.col("kind") != "page", F.col("ord"))
+    return found.groupBy("url", "target", "kind", own.alias("_own")).agg(places.alias("_places")).select("url", "target", "kind", F.explode("_places").alias("ord"))
 
 
 def srcset_urls(parsed: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def resource_class(status: Column, error: Column, url: Column, source: Column) -
 def resource_detail(status: Column, error: Column, url: Column, source: Column, redirected: Column, final_url: Column) -> Column:
     s, host = status.cast("string"), urls.site_key(url)
     cross = (host != "") & (host != urls.site_key(source))
-    return (F.when(urls.bot_hostile(host), F.concat(host, F.lit(" blocks crawlers - not checked (links there are virtually never actually broken)")))
+    return (F.when(urls.bot_hostile(host), F.concat(host, F.lit(" blocks automated clients - not checked (links there are virtually never actually broken)")))
             .when(error.isNotNull(), F.concat(F.lit("ERROR: "), error)).when(status.isin(*rules.RATE_LIMIT_CODES), F.concat(s, F.lit(" after retries (could not verify)")))
             .when((status >= 400) & cross & status.isin(401, 403), F.concat(s, F.lit(" (cross-origin, likely bot-blocked - not confirmed broken)")))
             .otherwise(status_detail(status, redirected, final_url)))

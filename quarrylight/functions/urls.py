@@ -207,7 +207,7 @@ def sensitive_verdict(url: Column) -> Column:
 
 
 def bot_hostile(host: Column) -> Column:
-    """Whether a host is, or is below, one that turns crawlers away."""
+    """Whether a host is, or is below, one that turns automated clients away."""
     return site_form(host).rlike(r"(?:^|\.)(?:" + "|".join(map(literal, rules.BOT_HOSTILE_HOSTS)) + r")\z")
 
 

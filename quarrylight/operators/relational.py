@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.functions import urls
+from quarrylight.storage import cut
+
+#: Rows of a global cap that one task still sorts.
+ONE_TASK = 100_000
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -27,12 +31,16 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return least.select(*(F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns))
 
 
-def cap_per_group(df: DataFrame, keys: list[str], order: list[str | Column], most: int) -> DataFrame:
-    """The first ``most`` rows of each group; 0 caps nothing. Ties fall by the order's last column, which should be unique."""
+def cap_per_group(df: DataFrame, keys: list[str], order: list[str | Column], most: int, rank: str | None = None) -> DataFrame:
+    """The first ``most`` rows of each group, with their place as column ``rank`` if named; 0 caps nothing.
+
+    Ties fall by the order's last column, which should be unique.
+    """
     if not most:
         return df
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    kept = df.withColumn(rank or "_rank", place).where(F.col(rank or "_rank") <= most)
+    return kept if rank else kept.drop("_rank")
 
 
 def skipped_by_cap(df: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -42,8 +50,26 @@ def skipped_by_cap(df: DataFrame, keys: list[str], most: int) -> DataFrame:
 
 
 def global_cap(df: DataFrame, order: list[str | Column], most: int, used: int = 0) -> DataFrame:
-    """The first ``most - used`` rows of all; 0 caps nothing."""
-    return df.orderBy(*order).limit(max(0, most - used)) if most else df
+    """The first ``most - used`` rows of all; 0 caps nothing.
+
+    A limit is one task's work, so a cap above ``ONE_TASK`` rows goes by ranges: the table is
+    written range by range, ranges before the cap are kept whole, and only the range it falls
+    in is cut.
+    """
+    if not most:
+        return df
+    left = max(0, most - used)
+    if left <= ONE_TASK:
+        return df.orderBy(*order).limit(left)
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "cap")
+    whole: list[int] = []
+    for part, n in sorted((r[0], r[1]) for r in ranged.groupBy("_range").count().collect()):  # a row a shuffle partition
+        if n > left:
+            edge = ranged.where(F.col("_range") == part).orderBy(*order).limit(left)
+            return ranged.where(F.col("_range").isin(whole)).unionByName(edge).drop("_range")
+        whole.append(part)
+        left -= n
+    return ranged.drop("_range")
 
 
 def unseen(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,17 +102,36 @@ def below_domain(df: DataFrame, host: str, domains: DataFrame) -> DataFrame:
 def numbered_names(df: DataFrame, folder: str, name: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:
     """``df`` with ``file_name``: the first of a name in a folder keeps it, later ones get ``-2``, ``-3``, ... before the ending.
 
-    Names ``taken`` (same two columns) count as earlier ones.
+    No two rows get one name, and none a name in ``taken`` (same two columns): a number that makes
+    a name some row has by nature, or that is taken, is passed over. Candidates are the numbers up
+    to a name's rows and taken names, met with the names in use by an equality join. NULL is a
+    folder, and a name, of its own.
     """
-    rank = F.row_number().over(Window.partitionBy(folder, name).orderBy(*order))
-    df = df.withColumn("_rank", rank)
-    if taken is not None:
-        stem = F.regexp_replace(F.col(name), r"-\d+(?=(\.[^.]*)?$)", "")
-        used = taken.withColumn("_n", stem).groupBy(F.col(folder), F.col("_n").alias(name)).agg(F.count(F.lit(1)).alias("_used"))
-        df = df.join(used, [folder, name], "left").withColumn("_rank", F.col("_rank") + F.coalesce("_used", F.lit(0))).drop("_used")
+    rows = df.withColumn("_rank", F.row_number().over(Window.partitionBy(folder, name).orderBy(*order)))
     suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
     base = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(suffix))
-    return df.withColumn("file_name", F.when(F.col("_rank") == 1, F.col(name)).otherwise(F.concat(base, F.lit("-"), F.col("_rank").cast("string"), suffix))).drop("_rank")
+    # names in use: of nature (each stays with the first row of it) and taken ones
+    natural = df.select(F.col(folder).alias("_f"), F.col(name).alias("_made")).distinct()
+    used = natural if taken is None else natural.unionByName(taken.select(F.col(folder).alias("_f"), F.col(name).alias("_made"))).distinct()
+    held = None if taken is None else taken.select(folder, name).distinct().withColumn("_held", F.lit(1))
+    sizes = df.groupBy(folder, name).agg(F.count(F.lit(1)).alias("_n"))
+    if held is not None:
+        sizes = sizes.join(held, (sizes[folder].eqNullSafe(held[folder])) & (sizes[name].eqNullSafe(held[name])), "left").select(sizes[folder], sizes[name], "_n", F.coalesce("_held", F.lit(0)).alias("_held"))
+    else:
+        sizes = sizes.withColumn("_held", F.lit(0))
+    # numbers in use that look like numbered forms of a name: so many candidates more are enough
+    stem = F.regexp_replace("_made", r"-\d+(?=(?:\.[^.]*)?$)", "")
+    forms = used.where(stem != F.col("_made")).groupBy(F.col("_f"), stem.alias("_s")).agg(F.count(F.lit(1)).alias("_forms"))
+    sizes = sizes.join(forms, sizes[folder].eqNullSafe(F.col("_f")) & (sizes[name] == F.col("_s")), "left").select(folder, name, "_n", "_held", F.coalesce("_forms", F.lit(0)).alias("_forms"))
+    need = F.col("_n") + F.col("_held") + F.col("_forms")
+    made = sizes.where((need > 1) & F.col(name).isNotNull()).select(folder, name, "_held", F.explode(F.sequence(F.lit(2), (need + 1).cast("int"))).alias("_k"))
+    made = made.withColumn("_made", F.concat(base, F.lit("-"), F.col("_k").cast("string"), suffix))
+    free = made.join(used, made[folder].eqNullSafe(used["_f"]) & (made["_made"] == used["_made"]), "left_anti")
+    # the n-th free number goes to the n-th row that needs one
+    turn = F.row_number().over(Window.partitionBy(folder, name).orderBy("_k")) + 1 - F.col("_held")
+    free = free.select(F.col(folder).alias("_f"), F.col(name).alias("_s"), turn.alias("_turn"), "_made")
+    out = rows.join(free, rows[folder].eqNullSafe(F.col("_f")) & (rows[name] == F.col("_s")) & (rows["_rank"] == F.col("_turn")), "left")
+    return out.withColumn("file_name", F.coalesce("_made", name)).select(*df.columns, "file_name")
 
 
 def mark_duplicates(df: DataFrame, key: str, order: list[str], seen: DataFrame | None = None) -> DataFrame:
@@ -156,17 +201,24 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 # --- finds --------------------------------------------------------------------------------------
+def arrival(finds: DataFrame) -> list[Column]:
+    """The order in which finds came: their number, or where the format has none, time and then the text."""
+    if "find_id" in finds.columns:
+        return [F.col("find_id")]
+    return [F.coalesce(c, F.lit("")) for c in ("ts", "domain", "kind", "text") if c in finds.columns]
+
+
 def hall_of_fame(finds: DataFrame, most: int = 40) -> DataFrame:
     """The best finds: by score, then the earliest; a find without score comes last."""
-    return finds.orderBy(F.coalesce("score", F.lit(0)).desc(), F.coalesce("ts", F.lit("")), "find_id").limit(most)
+    return finds.orderBy(F.coalesce("score", F.lit(0)).desc(), F.coalesce("ts", F.lit("")), *arrival(finds)).limit(most)
 
 
 def most_recent(finds: DataFrame, most: int = 80) -> DataFrame:
-    return finds.orderBy(F.col("find_id").desc()).limit(most)
+    return finds.orderBy(*(c.desc() for c in arrival(finds))).limit(most)
 
 
 def last_per_kind(finds: DataFrame, most: int = 120) -> DataFrame:
-    return cap_per_group(finds.where("kind IS NOT NULL"), ["kind"], [F.col("find_id").desc()], most)
+    return cap_per_group(finds.where("kind IS NOT NULL"), ["kind"], [c.desc() for c in arrival(finds)], most)
 
 
 # --- report rows --------------------------------------------------------------------------------

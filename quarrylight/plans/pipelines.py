@@ -5,7 +5,7 @@ A crawl (``operators.frontier.Crawl``) makes the responses; what follows it is o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight import rules
@@ -14,6 +14,7 @@ from quarrylight.functions import text as T
 from quarrylight.operators import relational as R
 from quarrylight.operators.frontier import Crawl, Limits
 from quarrylight.sources import http
+from quarrylight.storage import cut
 
 FINDING = ["netloc", "category", "url", "detail", "found_on", "kind"]
 
@@ -86,10 +87,14 @@ def header_stats(pages: DataFrame) -> DataFrame:
     return R.first_per_key(home, ["netloc"], ["header_checked_url"])
 
 
-def site_stats(pages: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Counters of a crawl: answered pages and pages robots kept out."""
+def site_stats(pages: DataFrame, blocked: DataFrame, skips: DataFrame | None = None) -> DataFrame:
+    """Counters of a crawl: answered pages, pages robots kept out, and what the caps refused (``Crawl.skips``)."""
     events = pages.where("error IS NULL").select(urls.site_key(F.col("url")).alias("netloc"), F.lit("pages_crawled").alias("event"))
-    return R.site_counters(events.unionByName(blocked.select(urls.site_key(F.col("url")).alias("netloc"), F.lit("robots_blocked").alias("event")))).join(header_stats(pages), "netloc", "left")
+    counts = R.site_counters(events.unionByName(blocked.select(urls.site_key(F.col("url")).alias("netloc"), F.lit("robots_blocked").alias("event"))))
+    if skips is not None:
+        counts = counts.drop("pattern_skipped", "query_skipped").join(skips, "netloc", "full_outer")
+        counts = counts.select("netloc", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("pages_crawled", "robots_blocked", "pattern_skipped", "query_skipped")))
+    return counts.join(header_stats(pages), "netloc", "left")
 
 
 def expand_links(scope: DataFrame | None = None, allow_external: bool = False):
@@ -102,25 +107,87 @@ def expand_links(scope: DataFrame | None = None, allow_external: bool = False):
     return expand
 
 
-def crawl(spark: SparkSession, seeds: list[str], pages: DataFrame | None = None, limits: Limits = Limits(), path: str | None = None, rules_table: DataFrame | None = None, options: dict | None = None, fresh: bool = False) -> Crawl:
-    """A crawl of recorded pages, or of the network where none are given; robots rules keep pages out."""
-    fetch = http.recorded(pages) if pages is not None else http.fetch_wave(options)
+# --- robots as gates of a crawl -----------------------------------------------------------------
+def root_of(url) -> Column:
+    """Scheme and host of an address: whose robots.txt holds for it."""
+    return F.concat(urls.scheme(url), F.lit("://"), urls.netloc(url))
+
+
+def known_rules(rules_table: DataFrame):
+    """A gate by rules that are there already."""
+    return lambda c, pages: robots.allowed(pages, rules_table)
+
 
-    def polite(wave: DataFrame) -> DataFrame:
-        todo = wave.where("kind = 'page'")
-        if rules_table is not None:
-            todo = robots.allowed(todo, rules_table).where("allowed").drop("allowed")
-        return fetch(todo)
+def fetched_rules(fetch, style: str = "wildcard"):
+    """A gate that fetches the robots.txt of each root the first time a wave has it, and keeps it with the wave.
 
+    ``wildcard`` takes patterns and the longest match, ``standard`` the standard parser's verdict.
+    A file that can't be had allows everything.
+    """
+
+    def gate(c: Crawl, pages: DataFrame) -> DataFrame:
+        roots = pages.select(root_of(F.col("url")).alias("root")).distinct()
+        known = c._stored("robots")
+        if known is not None:
+            roots = R.unseen(roots, known, ["root"])
+        asked = roots.withColumn("url", F.concat("root", F.lit("/robots.txt")))
+        got = fetch(asked.select("url")).where("error IS NULL AND status < 400").select("url", "body")
+        files = c._write(asked.join(got, "url", "left").select("root", "body"), "robots", c.waves[-1])
+        files = files if known is None else files.unionByName(known)
+        if style == "wildcard":
+            return robots.allowed(pages, robots.parse(files))
+        joined = pages.withColumn("_root", root_of(F.col("url"))).join(files.withColumnsRenamed({"root": "_root", "body": "_body"}), "_root", "left")
+        return joined.withColumn("allowed", robots.standard_allowed(F.col("_body"), F.col("url"))).drop("_root", "_body")
+
+    return gate
+
+
+def crawl(spark: SparkSession, seeds: list[str], pages: DataFrame | None = None, limits: Limits = Limits(), path: str | None = None, rules_table: DataFrame | None = None, options: dict | None = None, fresh: bool = False,
+          robots_txt: str | None = None, check: bool = False, probes: tuple[str, ...] = (), roam: bool = False) -> Crawl:
+    """A crawl of recorded pages, or of the network where none are given.
+
+    Pages are held back by ``rules_table``, or by the robots.txt of their root where ``robots_txt``
+    names a style. ``check`` asks for the status of resources and of ``probes``. ``roam`` follows
+    every anchor, whatever its site.
+    """
+    fetch = http.recorded(pages) if pages is not None else http.fetch_wave(options)
+    status = http.recorded(pages, http.STATUS) if pages is not None else http.check_wave(options)
+    gate = known_rules(rules_table) if rules_table is not None else fetched_rules(fetch, robots_txt) if robots_txt else None
     scope = spark.createDataFrame([(s,) for s in seeds], "s string").select(urls.site_key(urls.with_scheme(F.col("s"))).alias("site"))
-    return Crawl(spark, seeds, polite, expand_links(scope, limits.allow_external), limits, path, fresh).run()
+    expand = expand_links() if roam else expand_links(scope, limits.allow_external)
+    return Crawl(spark, seeds, fetch, expand, limits, path, fresh, gate, status if check else None, probes).run()
+
+
+def roaming(max_pages: int = 500, max_per_host: int = 25, home_first: bool = False) -> Limits:
+    """Limits of a crawl without borders: a budget of pages, a cap a host, addresses told apart by their query."""
+    return Limits(max_pages=max_pages, max_per_host=max_per_host, allow_external=True, form="roaming", home_first=home_first)
 
 
 def deep_audit(c: Crawl, profiles: DataFrame | None = None) -> DataFrame:
-    """Findings of a finished crawl's pages, repeats across resumed runs removed."""
+    """Findings of a crawl: its pages, the resources they refer to, and probed paths; repeats across resumed runs removed."""
     rows = c.frontier().select("url", "source", "depth")
-    answers = c.responses()
-    return R.distinct_findings(page_findings(answers.join(rows, "url"), profiles))
+    parts = [] if (answers := c.responses()) is None else [page_findings(answers.join(rows, "url"), profiles)]
+    if (checks := c.checks()) is not None:
+        parts += [resource_findings(checks.where("kind <> 'probe'")), probe_findings(checks.where("kind = 'probe'"))]
+    return R.distinct_findings(R.union_all([p.select(*FINDING) for p in parts]))
+
+
+def audit_stats(c: Crawl) -> DataFrame:
+    """Statistics a site of a crawl: pages, robots, caps, and the headers of the front page."""
+    answers = c.responses().join(c.frontier().select("url", "depth"), "url")
+    return site_stats(answers, c.held().where("why = 'robots'"), c.skips())
+
+
+def whole_audit(spark: SparkSession, seeds: list[str], pages: DataFrame | None = None, limits: Limits = Limits(max_rows=5000), path: str | None = None, options: dict | None = None, fresh: bool = False,
+                robots_txt: str | None = "standard", soft404: bool = True, probe: bool = False, token: str = "quarrylight") -> tuple[Crawl, DataFrame, DataFrame]:
+    """(crawl, findings, statistics): pages, resources, probes, not-found pages in disguise, headers and robots in one go."""
+    fetch = http.recorded(pages) if pages is not None else http.fetch_wave(options)
+    c = crawl(spark, seeds, pages, limits, path, None, options, fresh, robots_txt, True, rules.COMMON_PROBE_PATHS if probe else ())
+    profiles = None
+    if soft404 and c.responses() is not None:
+        roots = c.responses().select(F.concat(urls.scheme(F.col("url")), F.lit("://"), F.lower(urls.netloc(F.col("url")))).alias("root")).distinct()
+        profiles = cut(soft404_profiles(roots, fetch, token), "profiles")  # fetched once
+    return c, deep_audit(c, profiles), audit_stats(c)
 
 
 def quick_scan(answers: DataFrame, links: DataFrame) -> DataFrame:
@@ -160,8 +227,19 @@ def corpus(answers: DataFrame, min_words: int = 5, body: str = "body", implied:
     return rows.groupBy("paragraph").agg(F.min_by("url", F.struct("url", "ord")).alias("url"))
 
 
-def hunt(answers: DataFrame, ts: str, max_per_domain: int = 25) -> DataFrame:
-    """Finds of pages: comments by score, console messages (5), headers (5) and humans.txt files (4), each once, capped a domain."""
+def humans_files(pages: DataFrame, fetch) -> DataFrame:
+    """Responses for the humans.txt of each host of ``pages`` (final_url), asked once a host."""
+    root = F.concat(urls.scheme(F.col("final_url")), F.lit("://"), urls.netloc(F.col("final_url")))
+    asked = pages.select(F.concat(root, F.lit("/humans.txt")).alias("url")).distinct()
+    return fetch(asked)
+
+
+def hunt(answers: DataFrame, ts: str, max_per_domain: int = 25, fetch=None) -> DataFrame:
+    """Finds of pages: comments by score, console messages (5), headers (5) and humans.txt files (4), each once, capped a domain.
+
+    With ``fetch`` the humans.txt of every host is asked for, once; without it those among the
+    answers are taken.
+    """
     pages = answers.where("error IS NULL AND status < 400")
     markup = pages.where(responses.is_html(F.col("content_type")))
     comment = markup.select("url", F.explode(T.html_comments(F.col("body"))).alias("raw")).withColumn("c", T.classify_comment(F.col("raw"))).where("c IS NOT NULL")
@@ -169,13 +247,33 @@ def hunt(answers: DataFrame, ts: str, max_per_domain: int = 25) -> DataFrame:
     fixed = lambda x: F.array(F.lit(x))
     eggs = html.console_eggs(html.elements(markup, "url", "body"))
     headers = pages.select("url", F.explode(responses.header_eggs(F.col("headers"))).alias("egg"))
-    humans = pages.where(urls.path(F.col("url")) == "/humans.txt").select("url", responses.humans_txt(F.col("status"), F.col("content_type"), F.col("body")).alias("t")).where("t IS NOT NULL")
-    rows = R.union_all([make(comment, F.col("c.kind"), T.strip(F.col("raw")), F.col("c.score"), F.col("c.tags")), make(eggs, F.lit("console"), F.col("message"), F.lit(5), fixed("console")),
-                        make(headers, F.lit("header"), F.col("egg"), F.lit(5), fixed("header")), make(humans, F.lit("humans_txt"), F.col("t"), F.lit(4), fixed("humans"))])
+    files = humans_files(markup, fetch).where("error IS NULL") if fetch is not None else pages
+    humans = files.where(urls.path(F.col("url")) == "/humans.txt").select("url", responses.humans_txt(F.col("status"), F.col("content_type"), F.col("body")).alias("t")).where("t IS NOT NULL")
+    rows = R.union_all([make(comment, F.col("c.kind"), F.when(F.col("c.kind") == "ascii_art", F.regexp_replace("raw", r"^\n+|\n+$", "")).otherwise(T.collapse(F.col("raw"))), F.col("c.score"), F.col("c.tags")),
+                        make(eggs, F.lit("console"), F.col("message"), F.lit(5), fixed("console")), make(headers, F.lit("header"), F.col("egg"), F.lit(5), fixed("header")),
+                        make(humans, F.lit("humans_txt"), F.col("t"), F.lit(4), fixed("credits"))])
     rows = R.first_per_key(rows.withColumn("_key", T.find_key(F.col("kind"), F.col("text"), F.col("domain"))), ["_key"], ["url"])
     return R.cap_per_group(rows, ["domain"], ["url", "_key"], max_per_domain).drop("_key")
 
 
+def image_links(answers: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """(image_url, found_on): images of reachable pages, their srcset variants included, each once with the first page and place that has it."""
+    pages = answers.where("error IS NULL AND status < 400").where(responses.is_html(F.col("content_type")))
+    parsed = html.elements(pages, "url", "body")
+    own = html.links(parsed, scope).where("kind = 'image'").select("url", "target")
+    return own.unionByName(html.srcset_urls(parsed)).groupBy(F.col("target").alias("image_url")).agg(F.min("url").alias("found_on"))
+
+
+def image_totals(images: DataFrame) -> DataFrame:
+    """(site, saved, duplicates) of an ``image_scrape``."""
+    return images.groupBy("site").agg(F.count_if(~F.col("duplicate")).alias("saved"), F.count_if("duplicate").alias("duplicates"))
+
+
+def corpus_totals(paragraphs: DataFrame, new: DataFrame) -> DataFrame:
+    """One row (paragraphs, added, duplicates): of the paragraphs of a run (paragraph), those a corpus got (``new``)."""
+    return paragraphs.agg(F.count(F.lit(1)).alias("paragraphs")).crossJoin(F.broadcast(new.agg(F.count(F.lit(1)).alias("added")))).withColumn("duplicates", F.col("paragraphs") - F.col("added"))
+
+
 def probe_targets(spark: SparkSession, roots: DataFrame) -> DataFrame:
     from quarrylight.operators.frontier import probe_rows
 

@@ -192,6 +192,86 @@ def frontier_bfs(spark, d):
     return frontier.traverse(edges, spark.createDataFrame([("s1",)], "node string"), 3)
 
 
+# --- crawls of recorded pages -------------------------------------------------------------------
+def _node(asked: bool) -> tuple[Column, Column]:
+    """Host and address of an offer as a page: its own host and first path segment; with ``asked`` even numbers stand in the query."""
+    u, o = F.col("url"), F.col("offer_id").cast("string")
+    host = F.regexp_replace(urls.site_key(u), r":\d*$", "")
+    bucket = urls.path_prefix(u, 1)
+    folder = F.concat(F.lit("/"), bucket)
+    page = F.concat(F.when(bucket == "", F.lit("")).otherwise(folder), F.lit("/o"), o)
+    if asked:
+        page = F.when(F.col("offer_id") % 2 == 0, F.concat(folder, F.lit("?o="), o)).otherwise(page)
+    return host, F.concat(F.lit("https://"), host, page)
+
+
+def _graph(spark: SparkSession, d: str, asked: bool = False, status: bool = False) -> DataFrame:
+    """All offers as recorded pages of a tree: number n is linked from n div 3, the first ones from the start page."""
+    host, page = _node(asked)
+    nodes = cut(_offers(spark, d).select("offer_id", host.alias("host"), page.alias("u")).distinct(), "graph")
+    anchors = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offer_id", "u"))), lambda c: F.concat(F.lit('<a href="'), T.escape(c["u"]), F.lit('">n</a>'))), "")
+    links = nodes.groupBy(F.floor(F.col("offer_id") / 3).alias("offer_id")).agg(anchors.alias("anchors"))  # three at most
+    start = spark.createDataFrame([(0, "start.test", "https://start.test/")], "offer_id long, host string, u string")
+    body = F.concat(F.lit("<html>"), F.coalesce("anchors", F.lit("")), F.lit('<img src="https://img.test/'), (F.col("offer_id") % 20).cast("string"), F.lit('.png"></html>'))
+    pages = start.unionByName(nodes).join(links, "offer_id", "left").select(F.col("u").alias("url"), body.alias("body"), (F.when(F.col("offer_id") % 3 == 2, _status(F.col("offer_id"))).otherwise(200) if status else F.lit(200)).alias("status"))
+    if status:  # pictures, and a robots.txt on every host
+        pictures = spark.range(20).select(F.concat(F.lit("https://img.test/"), F.col("id").cast("string"), F.lit(".png")).alias("url"), F.lit("").alias("body"), _status(F.col("id")).alias("status"))
+        texts = nodes.select(F.concat(F.lit("https://"), "host", F.lit("/robots.txt")).alias("url")).distinct().select("url", F.lit("User-agent: *\nDisallow: /*7$").alias("body"), F.lit(200).alias("status"))
+        pages = pages.unionByName(pictures).unionByName(texts).withColumn("headers", F.create_map(F.lit("Server"), F.lit("nginx/1.2")))
+    return cut(pages, "graph-pages")
+
+
+_DONE: dict = {}
+
+
+def _once(spark: SparkSession, key: tuple, make):
+    """What several queries of a session look at is crawled once; its tables are in the shared folder."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _DONE:
+        _DONE[key] = make()
+    return _DONE[key]
+
+
+def _crawl(spark: SparkSession, d: str, limits: frontier.Limits, asked: bool = False) -> frontier.Crawl:
+    return _once(spark, (d, limits, asked), lambda: pipelines.crawl(spark, ["https://start.test/"], _graph(spark, d, asked), limits, roam=True))
+
+
+@query
+def crawl_waves(spark, d):
+    c = _crawl(spark, d, frontier.Limits(allow_external=True))
+    return c.frontier().where("kind = 'page'").select("url", "source", "depth", "wave")
+
+
+@query
+def crawl_capped(spark, d):
+    c = _crawl(spark, d, frontier.Limits(allow_external=True, max_per_prefix=8, max_query_variants=3), asked=True)
+    return c.frontier().where("kind = 'page'").select("url", "depth")
+
+
+@query
+def crawl_skips(spark, d):
+    return _crawl(spark, d, frontier.Limits(allow_external=True, max_per_prefix=8, max_query_variants=3), asked=True).skips()
+
+
+@query
+def crawl_host_cap(spark, d):
+    return _crawl(spark, d, frontier.Limits(allow_external=True, max_per_host=40)).responses().select("url")
+
+
+def _audit(spark: SparkSession, d: str):
+    return _once(spark, (d, "audit"), lambda: pipelines.whole_audit(spark, ["https://start.test/"], _graph(spark, d, status=True), frontier.Limits(allow_external=True), robots_txt="wildcard"))
+
+
+@query
+def deep_audit_findings(spark, d):
+    return _audit(spark, d)[1].groupBy("netloc", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def deep_audit_stats(spark, d):
+    return _audit(spark, d)[2].select("netloc", "pages_crawled", "robots_blocked")
+
+
 @query
 def probe_matrix(spark, d):
     roots = _offers(spark, d).select(F.concat(urls.scheme(F.col("url")), F.lit("://"), F.lower(urls.netloc(F.col("url")))).alias("root")).distinct()

@@ -59,7 +59,63 @@ _FILE = f"({_WITHOUT} || {_pick(('/db.sql', '/users_export.csv', '/sitemap.xml',
 _FPATH = rf"lower(regexp_extract(u, '^[a-z]+://[^/]*(.*)$', 1))"
 _FNAME = f"list_last(string_split({_FPATH}, '/'))"
 
-SQL = {
+# --- crawls: offers as a tree of pages, a level a wave -------------------------------------------
+_LEVELS = 17  # three to the 17th is more than the offers of any table here
+_HOST = rf"regexp_replace({_SITE}, ':\d*$', '')"
+_PRIORITY = f"CASE WHEN {_like_any('lower(path)', rules.HIGH_VALUE_PATH_HINTS)} THEN 1 WHEN {_like_any('lower(path)', rules.LOW_VALUE_PATH_HINTS)} THEN 3 ELSE 2 END"
+
+
+def _nodes(asked: bool) -> str:
+    plain = "CASE WHEN b = '' THEN '' ELSE '/' || b END || '/o' || o"
+    whole = f"CASE WHEN o % 2 = 0 THEN '/' || b || '?o=' || o ELSE {plain} END" if asked else plain
+    return f"""{_O}, b AS (SELECT DISTINCT offer_id AS o, {_HOST} AS host, {_BUCKET} AS b FROM o),
+n AS MATERIALIZED (SELECT o, o // 3 AS parent, host, b, host || {whole} AS at, 'https://' || host || {whole} AS url, {plain} AS path, CASE WHEN b = '' AND {'o % 2 = 1' if asked else 'true'} THEN 'o' || o ELSE b END AS bucket FROM b)"""
+
+
+def _levels(kept: str) -> str:
+    """CTEs w1, w2, ...: ``kept`` (a select over c, the children of the level before, and u, all levels before) makes each."""
+    out = ["w0 AS (SELECT * FROM n WHERE false)"]
+    for k in range(1, _LEVELS + 1):
+        children = "SELECT * FROM n WHERE parent = 0" if k == 1 else f"SELECT n.* FROM n JOIN w{k - 1} w ON n.parent = w.o"
+        before = " UNION ALL ".join(f"SELECT o, host, bucket, url, b FROM w{j}" for j in range(k))
+        out.append(f"w{k} AS MATERIALIZED (WITH c AS MATERIALIZED ({children}), u AS MATERIALIZED ({before}) {kept})")
+    return ",\n".join(out)
+
+
+_ALL = " UNION ALL ".join(f"SELECT *, {k} AS depth FROM w{k}" for k in range(1, _LEVELS + 1))
+
+
+def _capped() -> str:
+    """CTEs c1, p1, w1, c2, ...: the children of a level, what the cap of prefixes admits of them, and what that of queries leaves."""
+    out = []
+    for k in range(1, _LEVELS + 1):
+        children = "SELECT * FROM n WHERE parent = 0" if k == 1 else f"SELECT n.* FROM n JOIN w{k - 1} w ON n.parent = w.o"
+        before = lambda t, key, where: " UNION ALL ".join([f"SELECT host, {key}, count(*) AS n FROM {t}{j} WHERE {where} GROUP BY ALL" for j in range(1, k)] or [f"SELECT host, {key}, 0 AS n FROM n WHERE false"])
+        out += [f"c{k} AS MATERIALIZED ({children})",
+                f"p{k} AS MATERIALIZED (SELECT * EXCLUDE (r) FROM (SELECT c.*, row_number() OVER (PARTITION BY host, bucket ORDER BY o) + coalesce(x.m, 0) AS r FROM c{k} c LEFT JOIN (SELECT host, bucket, sum(n) AS m FROM ({before('p', 'bucket', 'true')}) GROUP BY ALL) x USING (host, bucket)) WHERE bucket = '' OR r <= 8)",
+                f"w{k} AS MATERIALIZED (SELECT * EXCLUDE (r) FROM (SELECT c.*, row_number() OVER (PARTITION BY host, b, o % 2 ORDER BY o) + coalesce(x.m, 0) AS r FROM p{k} c LEFT JOIN (SELECT host, b, sum(n) AS m FROM ({before('w', 'b', 'o % 2 = 0')}) GROUP BY ALL) x USING (host, b)) WHERE o % 2 = 1 OR r <= 3)"]
+    return ",\n".join(out)
+
+
+_COUNTS = " UNION ALL ".join(f"SELECT host, bucket, b, o, '{t}' AS t FROM {t}{k}" for k in range(1, _LEVELS + 1) for t in "cpw")
+SQL_CRAWLS = {
+    "crawl_waves": f"WITH RECURSIVE {_nodes(False)}, t AS (SELECT o, url, 'https://start.test/' AS source, 1 AS depth FROM n WHERE parent = 0 UNION ALL SELECT n.o, n.url, t.url, t.depth + 1 FROM t JOIN n ON n.parent = t.o) SELECT url, source, depth, depth AS wave FROM t UNION ALL SELECT 'https://start.test/', 'https://start.test/', 0, 0",
+    "crawl_host_cap": f"WITH {_nodes(False)}, " + _levels(f"SELECT * EXCLUDE (r) FROM (SELECT c.*, row_number() OVER (PARTITION BY host ORDER BY {_PRIORITY}, o) + coalesce(x.n, 0) AS r FROM c LEFT JOIN (SELECT host, count(*) AS n FROM u GROUP BY host) x USING (host)) WHERE r <= 40") + f" SELECT url FROM ({_ALL}) UNION ALL SELECT 'https://start.test/'",
+    "crawl_capped": f"WITH {_nodes(True)}, {_capped()} SELECT url, depth FROM ({_ALL}) UNION ALL SELECT 'https://start.test/', 0",
+    "crawl_skips": f"WITH {_nodes(True)}, {_capped()}, a AS MATERIALIZED ({_COUNTS}) SELECT host AS netloc, count(*) FILTER (t = 'c' AND bucket <> '') - count(*) FILTER (t = 'p' AND bucket <> '') AS pattern_skipped, count(*) FILTER (t = 'p' AND o % 2 = 0) - count(*) FILTER (t = 'w' AND o % 2 = 0) AS query_skipped FROM a WHERE bucket <> '' OR o % 2 = 0 GROUP BY host",
+    "deep_audit_findings": f"""WITH RECURSIVE {_nodes(False)}, s AS (SELECT *, CASE WHEN o % 3 = 2 THEN {_STATUS.format('o')} ELSE 200 END AS status FROM n),
+t AS (SELECT o, url, host, status, 1 AS depth FROM s WHERE parent = 0 UNION ALL SELECT s.o, s.url, s.host, s.status, t.depth + 1 FROM t JOIN s ON s.parent = t.o WHERE t.status < 400 AND t.o % 10 <> 7),
+f AS (SELECT * FROM t WHERE o % 10 <> 7),
+i AS (SELECT k, arg_min(host, CAST(depth AS BIGINT) * 1000000000000 + o) AS host, {_STATUS.format('k')} AS status FROM (SELECT o % 20 AS k, host, depth, o FROM f WHERE status < 400 UNION ALL SELECT 0, 'start.test', 0, 0) GROUP BY k),
+r AS (SELECT host AS netloc, CASE WHEN status = 503 THEN 'rate_limited' WHEN status IN (403, 500) THEN 'security_code' ELSE 'broken' END AS category FROM f WHERE status >= 400
+  UNION ALL SELECT host, CASE status WHEN 503 THEN 'rate_limited' WHEN 403 THEN 'unverified_resource' ELSE 'broken_resource' END FROM i WHERE status >= 400 UNION ALL SELECT 'start.test', 'version_disclosure')
+SELECT netloc, category, count(*) AS n FROM r GROUP BY ALL""",
+    "deep_audit_stats": f"""WITH RECURSIVE {_nodes(False)}, s AS (SELECT *, CASE WHEN o % 3 = 2 THEN {_STATUS.format('o')} ELSE 200 END AS status FROM n),
+t AS (SELECT o, host, status FROM s WHERE parent = 0 UNION ALL SELECT s.o, s.host, s.status FROM t JOIN s ON s.parent = t.o WHERE t.status < 400 AND t.o % 10 <> 7)
+SELECT host AS netloc, count(*) FILTER (o % 10 <> 7) AS pages_crawled, count(*) FILTER (o % 10 = 7) AS robots_blocked FROM t GROUP BY host UNION ALL SELECT 'start.test', 1, 0""",
+}
+
+SQL = SQL_CRAWLS | {
     "p5_found": f"WITH {_PAIRS} SELECT netloc, category FROM p WHERE findings * 100 >= (SELECT count(*) FROM f)",
     "p5_pair_rollup": rf"WITH {_PAIRS}, s AS (SELECT regexp_replace(lower(trim(netloc)), '^www\.', '') AS netloc, sum(pages_crawled) AS pages FROM site_stats GROUP BY 1) SELECT netloc, category, findings, (SELECT count(*) FROM f) AS all_findings, CAST(pages AS BIGINT) AS pages FROM p LEFT JOIN s USING (netloc)",
     "url_split": f"WITH {_O} SELECT offer_id, {_SCHEME} AS scheme, {_NETLOC} AS netloc, {_RAW_PATH} AS path, {_QUERY} AS query FROM o",

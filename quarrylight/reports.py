@@ -153,7 +153,7 @@ def gallery(finds: DataFrame, now: datetime) -> str:
     counts = {r.kind: r.n for r in finds.where("kind IS NOT NULL").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     for kind, label in rules.KIND_LABELS.items():
         if kind in counts:
-            last = finds.where(F.col("kind") == kind).orderBy(F.col("find_id").desc()).limit(120)
+            last = R.most_recent(finds.where(F.col("kind") == kind), 120)
             parts += [f'<h2>{html.escape(label)} <span class="n">{counts[kind]}</span></h2>', "".join(shown(last))]
     summary = " · ".join(f"{n} {rules.KIND_LABELS.get(k, k)}" for k, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])))
     domains = finds.agg(F.count_distinct("domain")).first()[0]

@@ -92,8 +92,8 @@ def add_finds(new: DataFrame, path: str, most_per_domain: int = 0) -> None:
     rows = R.unseen(R.first_per_key(new.withColumn("_key", key), ["_key"], ["ts", "text"]), old, ["_key"])
     if most_per_domain:
         used = old.groupBy("domain").agg(F.count(F.lit(1)).alias("_used"))
-        rank = R.cap_per_group(rows, ["domain"], ["ts", "_key"], most_per_domain).join(used, "domain", "left")
-        rows = rank.where(F.coalesce("_used", F.lit(0)) < most_per_domain).drop("_used")
+        kept = R.cap_per_group(rows, ["domain"], ["ts", "_key"], most_per_domain, rank="_place").join(used, "domain", "left")
+        rows = kept.where(F.col("_place") + F.coalesce("_used", F.lit(0)) <= most_per_domain).drop("_used", "_place")
     rows.select(*(c.split()[0] for c in FIND.split(", "))).write.mode("append").json(path)
 
 

@@ -3,6 +3,8 @@
 ``register(spark)`` adds ``http_pages`` (whole responses), ``http_status`` (HEAD, confirmed by GET)
 and ``http_binary``. Addresses come in the option ``urls`` or, one a line, from a file in
 ``path``; addresses of a host share a partition, so that politeness needs no coordination.
+Options: ``delayMin``, ``delayMax``, ``timeout``, ``maxFetchSeconds``, ``maxRetries``, ``proxies``,
+``partitions``, and ``maxBytes``, beyond which a response is an error (0, the default: no bound).
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ class Fetcher:
         get = lambda k, d: float(options.get(k, d))
         self.pause = get("delayMin", 0.4), get("delayMax", 1.2)
         self.timeout, self.deadline = get("timeout", 15), get("maxFetchSeconds", 30)
-        self.retries, self.most = int(get("maxRetries", 2)), int(get("maxBytes", 64 << 20))
+        self.retries, self.most = int(get("maxRetries", 2)), int(get("maxBytes", 0))
         self.proxies = [p.strip() for p in options.get("proxies", "").split(",") if p.strip() and not p.strip().startswith("#")]
         self.sleep: Callable[[float], None] = time.sleep
         self.streak: dict[str, int] = {}
@@ -78,7 +80,7 @@ class Fetcher:
             size += len(chunk)
             if time.monotonic() - begun > self.deadline:
                 raise TimeoutError(f"exceeded {self.deadline:.0f}s wall-clock fetch limit")
-            if size > self.most:
+            if 0 < self.most < size:
                 raise ValueError(f"more than {self.most} bytes")
         return b"".join(parts)
 
@@ -211,15 +213,32 @@ def fetch_wave(options: dict | None = None) -> Callable[[DataFrame], DataFrame]:
     return fetch
 
 
-def recorded(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A crawl's ``fetch`` from a table of recorded responses; an address that isn't there answers 404."""
+def check_wave(options: dict | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A crawl's ``check``: the status of each address, by host, as ``http_status`` finds it."""
+    settings = dict(options or {})
+
+    def check(wave: DataFrame) -> DataFrame:
+        def run(frames):
+            import pandas as pd
+
+            reader, fetcher = _StatusReader(settings), Fetcher(settings)
+            for f in frames:
+                yield pd.DataFrame([reader.row(fetcher, u) for u in f["url"]], columns=[c.split()[0] for c in STATUS.split(", ")])
+
+        return wave.select("url").distinct().repartition(F.regexp_extract("url", "//([^/]*)", 1)).mapInPandas(run, STATUS)
+
+    return check
+
+
+def recorded(pages: DataFrame, schema: str = RESPONSE) -> Callable[[DataFrame], DataFrame]:
+    """A crawl's ``fetch`` (or, with the schema ``STATUS``, its ``check``) from a table of recorded responses; an address that isn't there answers 404."""
     have = {c: t for c, t in pages.dtypes}
 
     def fetch(wave: DataFrame) -> DataFrame:
         out = wave.select("url").distinct().join(pages.withColumn("_there", F.lit(True)), "url", "left")
         missing = F.col("_there").isNull()
         cols = []
-        for name, kind in _columns():
+        for name, kind in _columns(schema):
             c = F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
             if name == "status":
                 c = F.when(missing, F.lit(404)).otherwise(F.coalesce(c, F.lit(200)))
@@ -237,5 +256,5 @@ def recorded(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return fetch
 
 
-def _columns() -> list[tuple[str, str]]:
-    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(RESPONSE).fields]
+def _columns(schema: str) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(schema).fields]

@@ -50,12 +50,17 @@ def checkpointed_report(findings: DataFrame, render: Callable[[DataFrame, int],
 def throttle(responses: DataFrame) -> DataFrame:
     """(host, status, streak, wait) for each response (host, status, retry_after): the cooldown its host has earned.
 
-    A rate limit lengthens the host's streak, any other answer ends it.
+    A rate limit lengthens the host's streak, any other answer ends it. Answers of a batch are
+    taken in the order of the column ``at``, if there is one, ties by status; what arrives in a
+    later batch counts as later.
     """
+    timed = "at" in responses.columns
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak = state.get[0] if state.exists else 0
         out = []
+        if timed:  # numbers only: a host's answers of one batch
+            frames = [pd.concat([f[["at", "status", "retry_after"]] for f in frames]).sort_values(["at", "status"], kind="stable")]
         for f in frames:
             for status, asked in zip(f["status"], f["retry_after"]):
                 limited = status in (429, 503)
