@@ -6,14 +6,17 @@ any common order; the order here is rarest first, by a count sketch of fixed siz
 
 * Index lists hold a set's size and the token's position in it. They are sorted by both and cut in
   blocks; a pair of blocks whose sizes or positions rule out the overlap needed is skipped whole.
-* Answers are derived, not computed again, for sets related to one whose answers are known: equal
-  sets have one entry, one verification and one set of answers; and where several candidates of a
-  set are highly similar to each other, the overlap with the next one is that with the last one,
-  corrected by the tokens in which the two differ.
-
-Nothing is dropped: a token's list that is too long for a task is cut in parts, and every pair of
-parts is one list. No list, link, class or fingerprint reaches the driver; the sketch does, and it
-has a fixed size.
+* Answers are derived, not computed again, for sets related to one whose answers are known. Equal
+  sets have one entry, one verification and one set of answers. Candidate pairs of related sets
+  are verified together; the first set of such a group, the leader, is compared with each other
+  one, and what is known of x and the leader and of y and the leader bounds the overlap of x and y:
+  most pairs are settled by that alone, and the others by correcting the leader's overlap with y
+  by the tokens in which x differs from the leader, which are worked out once for all y.
+
+Texts are tokenised once; what follows reads their token sets from shared storage. Nothing is
+dropped: a token's list that is too long for a task is cut in parts, and every pair of parts is one
+list; a leader with too many pairs has several groups. No list, link, class or fingerprint reaches
+the driver; a sketch of counts and a filter of names do, and both have a greatest size.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from quarrylight.llm import vectors
 from quarrylight.storage import cut
 
-#: Counters of the sketch and bits of the candidate filter: fixed, 8 MB and 2 MB, whatever the input.
-SLOTS, CHUNKS, FILTER_BITS = 1 << 21, 32, 1 << 24
+#: Counters of the sketch and bits of the candidate filter: least and most (8 to 128 MB, 2 to 128 MB), sized to the input in between.
+SLOTS, MOST_SLOTS, FILTER_BITS, MOST_FILTER_BITS, CHUNKS = 1 << 21, 1 << 25, 1 << 24, 1 << 30, 32
+#: Candidate pairs verified in one step, and pairs a leader may have before it gets several groups.
+GROUP = 60_000
 #: Entries of a block, entries a list may hold before it is cut in parts, entries planned for a bucket.
 BLOCK, LONG_LIST, BUCKET = 64, 1 << 15, 400_000
 #: Pairs looked at in one step.
@@ -70,6 +75,19 @@ class Sets:
         #: identity of the set, kind included: equal sets have equal names
         self.name = vectors.finish(total ^ self.size.astype(np.uint64))
 
+    @classmethod
+    def stored(cls, names: pa.Array, tokens: pa.Array) -> Sets:
+        """From rows of the table of sets."""
+        s = cls.__new__(cls)
+        s.name = names.to_numpy().view(np.uint64)
+        parts = [np.frombuffer(t.as_buffer(), np.uint64) for t in tokens]
+        s.size = np.array([len(x) for x in parts], np.int64)
+        s.tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        s.rows = np.arange(len(parts))
+        s.begin = np.cumsum(s.size) - s.size
+        s.owner = np.repeat(s.rows, s.size)
+        return s
+
     def bitmaps(self) -> np.ndarray:
         """64 bits of each set: the number of bits that differ bounds the number of tokens that do."""
         if not len(self.rows):
@@ -81,8 +99,13 @@ class Sets:
         return np.unique(self.name, return_index=True)[1]
 
 
-def _slot(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(43)).astype(np.int64)
+def _slot(tokens: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    return (tokens >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def _sized(n: int, least: int, most: int) -> int:
+    """A power of two near ``n`` within bounds."""
+    return max(least, min(most, 1 << max(n, 1).bit_length()))
 
 
 def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -105,19 +128,31 @@ class Join:
     def sets(self, b: pa.RecordBatch) -> Sets:
         return Sets(b.column(0), b.column(1), b.column(2), self.run, self.least)
 
+    def table(self, source: DataFrame) -> DataFrame:
+        """(id, name, tokens) of every text that takes part, in shared storage; of the equal sets of a batch one has its tokens."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                s = self.sets(b)
+                once = np.zeros(len(s.rows), bool)
+                once[s.without_copies()] = True
+                tokens = [s.tokens[i:i + n].tobytes() if o else None for i, n, o in zip(s.begin.tolist(), s.size.tolist(), once.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.name.view(np.int64)), pa.array(tokens, pa.binary())], names=["id", "name", "tokens"])
+
+        return cut(source.mapInArrow(run, "id long, name long, tokens binary"), "neardup-sets")
+
     # --- the order of tokens: a count sketch ----------------------------------------------------
-    def sketch(self, source: DataFrame) -> np.ndarray:
-        parts = source.rdd.getNumPartitions()
+    def sketch(self, sets: DataFrame, rows: int) -> np.ndarray:
+        own = sets.where("tokens IS NOT NULL").select("name", "tokens")
+        parts = own.rdd.getNumPartitions()
         fan = max(1, parts // 256)
+        size = _sized(rows * 4, SLOTS, MOST_SLOTS)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            slots = np.zeros(SLOTS, np.int64)
+            slots = np.zeros(size, np.int64)
             for b in batches:
-                s = self.sets(b)
-                pick = s.without_copies()
-                mask = np.zeros(len(s.rows), bool)
-                mask[pick] = True
-                slots += np.bincount(_slot(s.tokens[mask[s.owner]]), minlength=SLOTS)
+                s = Sets.stored(b.column(0), b.column(1))
+                slots += np.bincount(_slot(s.tokens, size), minlength=size)
             small = np.minimum(slots, MOST).astype(np.uint32).reshape(CHUNKS, -1)
             group = (TaskContext.get().partitionId() % fan) * CHUNKS
             for c in range(CHUNKS):
@@ -127,11 +162,11 @@ class Join:
             total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table.column("n"))
             return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "n": pa.array([np.minimum(total, MOST).astype(np.uint32).tobytes()], pa.binary())})
 
-        rows = source.mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary")
+        rows = own.mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary")
         if fan > 1:
             rows = rows.withColumn("chunk", F.col("chunk") % CHUNKS).groupBy("chunk").applyInArrow(add, "chunk int, n binary")
-        got = {r.chunk: r.n for r in rows.collect()}  # CHUNKS rows, 8 MB in all
-        return np.concatenate([np.frombuffer(got[c], np.uint32) if c in got else np.zeros(SLOTS // CHUNKS, np.uint32) for c in range(CHUNKS)])
+        got = {r.chunk: r.n for r in rows.collect()}  # CHUNKS rows, MOST_SLOTS counters in all at most
+        return np.concatenate([np.frombuffer(got[c], np.uint32) if c in got else np.zeros(size // CHUNKS, np.uint32) for c in range(CHUNKS)])
 
     # --- index ----------------------------------------------------------------------------------
     def postings(self, s: Sets, counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +178,7 @@ class Join:
         tokens, owner = s.tokens[keep], s.owner[keep]
         if not len(tokens):
             return np.zeros(0, np.int64), np.zeros(0, _POSTING)
-        df = counts[_slot(tokens)]
+        df = counts[_slot(tokens, len(counts))]
         order = np.lexsort((tokens, df, owner))
         tokens, owner, df = tokens[order], owner[order], df[order]
         begin = np.searchsorted(owner, owner)
@@ -151,7 +186,8 @@ class Join:
         prefix = at <= size - -(-self.percent * size // 100)
         prefix &= df > 1  # a token that is in one set only (the sketch never counts too few)
         tokens, owner, df, at, size = tokens[prefix], owner[prefix], df[prefix], at[prefix], size[prefix]
-        parts = -(-df.astype(np.int64) // LONG_LIST)
+        # what a counter holds beyond the average is the token's own: chance neighbours never cut a list
+        parts = np.maximum(1, -(-(df.astype(np.int64) - int(counts.mean(dtype=np.float64))) // LONG_LIST))
         if len(parts) and parts.max() > 1:  # a long list: one entry for each pair of parts
             copies = np.arange(parts.sum()) - np.repeat(np.r_[0, np.cumsum(parts)][:-1], parts)
             tokens, owner, at, size, parts = (np.repeat(x, parts) for x in (tokens, owner, at, size, parts))
@@ -163,14 +199,14 @@ class Join:
         out["size"], out["at"] = size, at
         return (tokens % np.uint64(buckets)).astype(np.int64), out
 
-    def candidates(self, source: DataFrame, counts: np.ndarray) -> DataFrame:
+    def candidates(self, sets: DataFrame, counts: np.ndarray, rows: int) -> DataFrame:
         """Distinct pairs (a, b) of set names, a < b, that no filter rules out."""
-        buckets = max(16, source.count() * 20 // BUCKET)
-        sent = source.sparkSession.sparkContext.broadcast(counts)
+        buckets = max(16, rows * 20 // BUCKET)
+        sent = sets.sparkSession.sparkContext.broadcast(counts)
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at, rows = self.postings(self.sets(b), sent.value, buckets)
+                at, rows = self.postings(Sets.stored(b.column(0), b.column(1)), sent.value, buckets)
                 order = np.argsort(at, kind="stable")
                 at, rows = at[order], rows[order]
                 own, begin = np.unique(at, return_index=True)
@@ -185,7 +221,7 @@ class Join:
                 for k in range(0, len(both), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(both[k:k + (1 << 16), 0]), pa.array(both[k:k + (1 << 16), 1])], names=["a", "b"])
 
-        met = source.mapInArrow(index, "bucket long, entries binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+        met = sets.where("tokens IS NOT NULL").select("name", "tokens").mapInArrow(index, "bucket long, entries binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
         return met.distinct()
 
     def pairs(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -234,35 +270,15 @@ class Join:
                 yield rows["set"][i], rows["set"][j]
 
     # --- verification ---------------------------------------------------------------------------
-    def members(self, source: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-        """(id, name) of every text that takes part; with a filter of names, (id, name, text) of those that may be in it."""
-        sent = source.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                s = self.sets(b)
-                cols = [pa.array(s.ids), pa.array(s.name.view(np.int64))]
-                if sent is not None:
-                    bits = sent.value
-                    hit = np.ones(len(s.name), bool)
-                    for x in _hashes(s.name):
-                        hit &= (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
-                    _, once = np.unique(s.name, return_index=True)
-                    pick = once[hit[once]]
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(pick)) for c in cols), b.column(2).take(pa.array(s.rows[pick]))], names=["id", "name", "text"])
-                else:
-                    yield pa.RecordBatch.from_arrays(cols, names=["id", "name"])
-
-        return source.mapInArrow(run, "id long, name long" + (", text string" if sent is not None else ""))
-
-    def name_filter(self, pairs: DataFrame) -> np.ndarray:
-        """A Bloom filter of fixed size of the names in ``pairs``: it decides which texts are moved, never which pairs are linked."""
+    def name_filter(self, pairs: DataFrame, rows: int) -> np.ndarray:
+        """A Bloom filter of the names in ``pairs``: it decides which sets are moved, never which pairs are linked."""
+        size = _sized(rows * 8, FILTER_BITS, MOST_FILTER_BITS)
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits, some = np.zeros(FILTER_BITS, bool), False
+            bits, some = np.zeros(size, bool), False
             for b in batches:
                 for c in b.columns:
-                    for x in _hashes(c.to_numpy().view(np.uint64)):
+                    for x in _hashes(c.to_numpy().view(np.uint64), size):
                         bits[x] = some = True
             if some:
                 packed = np.packbits(bits, bitorder="little").reshape(CHUNKS, -1)
@@ -274,55 +290,98 @@ class Join:
             return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "n": pa.array([out.tobytes()], pa.binary())})
 
         got = {r.chunk: r.n for r in pairs.select("a", "b").mapInArrow(fill, "chunk int, n binary").groupBy("chunk").applyInArrow(join, "chunk int, n binary").collect()}
-        return np.concatenate([np.frombuffer(got[c], np.uint8) if c in got else np.zeros(FILTER_BITS // 8 // CHUNKS, np.uint8) for c in range(CHUNKS)])
+        return np.concatenate([np.frombuffer(got[c], np.uint8) if c in got else np.zeros(size // 8 // CHUNKS, np.uint8) for c in range(CHUNKS)])
 
-    def links(self, source: DataFrame) -> DataFrame:
-        """(a, b, shared, united): pairs of set names, a < b, at or above the threshold."""
-        pairs = cut(self.candidates(source, self.sketch(source)), "neardup-candidates")
-        texts = cut(self.members(source, self.name_filter(pairs)).groupBy("name").agg(F.min_by("text", "id").alias("text")), "neardup-texts")
-        left = pairs.join(texts.withColumnsRenamed({"name": "a", "text": "text_a"}), "a")
-        both = left.join(texts.withColumnsRenamed({"name": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    def involved(self, sets: DataFrame, wanted: np.ndarray) -> DataFrame:
+        """(name, tokens), once each, of the sets whose name may be in the filter."""
+        sent = sets.sparkSession.sparkContext.broadcast(wanted)
 
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = sent.value
             for b in batches:
-                yield self._verified(b)
-
-        return both.mapInArrow(verify, "a long, b long, shared int, united int")
-
-    def _verified(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Overlaps of a batch of pairs. Each text is tokenised once; of the pairs that have one side
-        in common, those after the first derive their overlap where the other sides are highly similar."""
-        known: dict[int, frozenset[int]] = {}
-        names, texts = [], []
-        for key, text in (("a", "text_a"), ("b", "text_b")):
-            for n, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()):
-                if n not in known:
-                    known[n] = frozenset()
-                    names.append(n)
-                    texts.append(t)
-        s = Sets(pa.array(names, pa.int64()), pa.array([""] * len(names)), pa.array(texts, pa.string()), self.run, self.least)
-        tokens = s.tokens.tolist()
-        for n, i, k in zip(s.ids.tolist(), s.begin.tolist(), s.size.tolist()):
-            known[n] = frozenset(tokens[i:i + k])
-        out: list[tuple[int, int, int, int]] = []
-        last_b, last_a, overlap = None, None, 0
-        for a, b in sorted(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()), key=lambda x: (x[1], len(known[x[0]]), x[0])):
-            x, y = known[a], known[b]
-            if b == last_b and len(gone := known[last_a] - x) + len(x) - len(known[last_a]) + len(gone) < len(x) // 4:
-                overlap += len((x - known[last_a]) & y) - len(gone & y)
-            else:
-                overlap = len(x & y)
-            last_a, last_b = a, b
-            united = len(x) + len(y) - overlap
-            if overlap * 100 >= self.percent * united:
-                out.append((a, b, overlap, united))
-        cols = list(zip(*out)) if out else [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "shared", "united"])
-
-
-def _hashes(names: np.ndarray) -> Iterator[np.ndarray]:
+                names = b.column(0).to_numpy().view(np.uint64)
+                hit = np.ones(len(names), bool)
+                for x in _hashes(names, len(bits) * 8):
+                    hit &= (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+                yield b.filter(pa.array(hit))
+
+        own = sets.where("tokens IS NOT NULL").select("name", "tokens").mapInArrow(run, "name long, tokens binary")
+        return own.groupBy("name").agg(F.min("tokens").alias("tokens"))
+
+    def grouped(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, group): pairs of related sets in one group, about GROUP of them; a leader with more has several."""
+        least = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("leader"))
+        led = pairs.join(least, "a", "left").withColumn("leader", F.coalesce("leader", "a"))
+        many = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+        parts = F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1)).cast("int")
+        groups = max(8, pairs.count() // GROUP)
+        return led.join(many, "leader", "left").select("a", "b", F.pmod(F.xxhash64("leader", F.pmod(F.xxhash64("b"), parts)), F.lit(groups)).cast("int").alias("group"))
+
+    def links(self, sets: DataFrame, rows: int) -> DataFrame:
+        """(a, b): pairs of set names, a < b, at or above the threshold."""
+        pairs = cut(self.candidates(sets, self.sketch(sets, rows), rows), "neardup-candidates")
+        grouped = cut(self.grouped(pairs), "neardup-groups")
+        needed = grouped.select(F.col("group").alias("at"), F.explode(F.array("a", "b")).alias("name")).distinct()  # a set goes once to a group, not once a pair
+        tokens = needed.join(self.involved(sets, self.name_filter(pairs, rows)), "name")
+
+        def verify(pairs: pa.Table, tokens: pa.Table) -> pa.Table:
+            a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
+            own = {n: np.frombuffer(t.as_buffer(), np.uint64) for n, t in zip(tokens.column("name").to_pylist(), tokens.column("tokens").combine_chunks())}
+            keep = self.verified(a, b, own)
+            return pa.table({"a": a[keep], "b": b[keep]})
+
+        return grouped.groupBy("group").cogroup(tokens.groupBy("at")).applyInArrow(verify, "a long, b long")
+
+    def verified(self, a: np.ndarray, b: np.ndarray, tokens: dict[int, np.ndarray], counts: dict | None = None) -> np.ndarray:
+        """Which pairs are at or above the threshold. ``counts`` gets how many were settled by bounds, by differences and by themselves."""
+        size = {n: len(t) for n, t in tokens.items()}
+        of: dict[int, frozenset[int]] = {}
+        changes: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        told: dict[tuple[int, int], int] = {}  # overlap of a leader with a set
+        leader: dict[int, int] = {}
+        tally = [0, 0, 0]
+
+        def members(n: int) -> frozenset[int]:
+            if n not in of:
+                of[n] = frozenset(tokens[n].tolist())
+            return of[n]
+
+        keep = np.zeros(len(a), bool)
+        for k in np.lexsort((b, a)).tolist():
+            x, y = int(a[k]), int(b[k])
+            need = -(-(self.percent * (size[x] + size[y])) // (100 + self.percent))
+            root = leader.get(x)
+            if root is not None and (root, y) in told:  # x and y were both compared with the leader
+                with_x, with_y = told[root, x], told[root, y]
+                if min(with_y + size[x] - with_x, with_x + size[y] - with_y) < need:
+                    tally[0] += 1
+                    continue
+                if with_x + with_y - size[root] >= need:
+                    tally[0] += 1
+                    keep[k] = True
+                    continue
+                if 2 * (size[x] + size[root] - 2 * with_x) < min(size[x], size[y]):
+                    if (root, x) not in changes:
+                        changes[root, x] = list(members(x) - members(root)), list(members(root) - members(x))
+                    gained, lost = changes[root, x]
+                    other = members(y)
+                    tally[1] += 1
+                    keep[k] = with_y + sum(t in other for t in gained) - sum(t in other for t in lost) >= need
+                    continue
+            overlap = len(members(x) & members(y))
+            tally[2] += 1
+            if root is None:  # x is the first of its kind here: its overlaps are kept for the sets related to it
+                told[x, y] = overlap
+                leader.setdefault(y, x)
+            keep[k] = overlap >= need
+        if counts is not None:
+            counts |= dict(zip(("bounds", "differences", "compared"), tally))
+        return keep
+
+
+def _hashes(names: np.ndarray, size: int) -> Iterator[np.ndarray]:
     for k in range(3):
-        yield (vectors.finish(names + np.uint64(k * 77 + 1)) % np.uint64(FILTER_BITS)).astype(np.int64)
+        yield (vectors.finish(names + np.uint64(k * 77 + 1)) % np.uint64(size)).astype(np.int64)
 
 
 def _steps(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -353,9 +412,9 @@ def similar_pairs(df: DataFrame, join: Join) -> DataFrame:
     Texts that are NULL, empty or shorter than ``join.least`` words, and rows without number or
     kind, take part in no pair. The number must be unique. Other columns are not read.
     """
-    source = join.source(df)
-    links = join.links(source)
-    members = cut(join.members(source), "neardup-members")
+    sets = join.table(join.source(df))
+    links = join.links(sets, sets.count())
+    members = sets.select("id", "name")
     across = (links.select("a", "b").join(members.select(F.col("name").alias("a"), F.col("id").alias("x")), "a")
               .join(members.select(F.col("name").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     return across.unionByName(_copies(members))
@@ -367,9 +426,9 @@ def groups(df: DataFrame, join: Join) -> DataFrame:
     ``class_id`` is the smallest number among the texts connected by links; ``links`` the number
     of texts at or above the threshold with this one, copies included but never written out.
     """
-    source = join.source(df)
-    links = cut(join.links(source).select("a", "b"), "neardup-links")
-    members = cut(join.members(source), "neardup-members")
+    sets = join.table(join.source(df))
+    links = cut(join.links(sets, sets.count()), "neardup-links")
+    members = sets.select("id", "name")
     classes = members.groupBy("name").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(classes.select(F.col("name").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "name")

@@ -114,6 +114,24 @@ def test_very_long_texts_keep_their_pairs():
     assert len({tuple(sorted(p)) for x, y in join.pairs(rows) for p in zip(x.tolist(), y.tolist())}) == 1
 
 
+def test_answers_are_derived_from_those_of_a_leader():
+    rng = np.random.default_rng(9)
+    join = neardup.Join(run=3, percent=60, least=3)
+    tokens = {}
+    for g in range(30):
+        base = rng.integers(0, 1 << 60, int(rng.integers(8, 60)), dtype=np.uint64)
+        for _ in range(int(rng.integers(2, 9))):
+            own = base.copy()
+            own[rng.random(len(own)) < rng.choice([0.02, 0.2, 0.4])] = rng.integers(0, 1 << 60, dtype=np.uint64)
+            tokens[len(tokens) * 7 + int(rng.integers(5))] = np.unique(own)
+    names = sorted(tokens)
+    pairs = np.array([(x, y) for i, x in enumerate(names) for y in names[i + 1:] if rng.random() < 0.9])
+    want = [100 * len(np.intersect1d(tokens[x], tokens[y])) >= 60 * len(np.union1d(tokens[x], tokens[y])) for x, y in pairs.tolist()]
+    counts = {}
+    assert join.verified(pairs[:, 0], pairs[:, 1], tokens, counts).tolist() == want and 50 < sum(want) < len(want)
+    assert counts["bounds"] > counts["compared"]
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "find_id long, kind string, text string")
     assert neardup.similar_pairs(empty, neardup.Join()).count() == 0
