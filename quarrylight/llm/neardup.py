@@ -47,6 +47,35 @@ MOST = (1 << 32) - 1
 _POSTING = np.dtype([("token", "<u4"), ("set", "<u8"), ("bits", "<u8"), ("size", "<u4"), ("at", "<u4")])
 
 
+#: Bits of a token: 48 of its hash. Two different tokens of a pair of sets of n tokens each are taken for one with a chance of n^2 / 2^48.
+_KEPT = np.uint64(0xFFFFFFFFFFFF0000)
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """Six bytes a token."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _by_field(rows: np.ndarray) -> bytes:
+    """Entries field after field: sizes and positions, mostly small, then compress."""
+    return b"".join(rows[f].tobytes() for f in _POSTING.names)
+
+
+def _entries(raw) -> np.ndarray:
+    n, at = len(raw) // _POSTING.itemsize, 0
+    out = np.empty(n, _POSTING)
+    for f in _POSTING.names:
+        out[f] = np.frombuffer(raw, _POSTING[f], n, at)
+        at += n * _POSTING[f].itemsize
+    return out
+
+
 class Sets:
     """Token sets of a batch: texts with at least ``least`` words and a kind."""
 
@@ -58,7 +87,7 @@ class Sets:
         salts = np.array([salt[k] for k in kinds], np.uint64)
         fine = (np.diff(offsets) >= max(least, run)) & np.array([k is not None for k in kinds], bool)
         owner = np.repeat(np.arange(len(kinds)), np.diff(at))
-        h = vectors.finish(h ^ salts[owner])
+        h = vectors.finish(h ^ salts[owner]) & _KEPT
         keep = fine[owner]
         h, owner = h[keep], owner[keep]
         order = np.lexsort((h, owner))
@@ -80,7 +109,7 @@ class Sets:
         """From rows of the table of sets."""
         s = cls.__new__(cls)
         s.name = names.to_numpy().view(np.uint64)
-        parts = [np.frombuffer(t.as_buffer(), np.uint64) for t in tokens]
+        parts = [_unpacked(t.as_buffer()) for t in tokens]
         s.size = np.array([len(x) for x in parts], np.int64)
         s.tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         s.rows = np.arange(len(parts))
@@ -136,7 +165,7 @@ class Join:
                 s = self.sets(b)
                 once = np.zeros(len(s.rows), bool)
                 once[s.without_copies()] = True
-                tokens = [s.tokens[i:i + n].tobytes() if o else None for i, n, o in zip(s.begin.tolist(), s.size.tolist(), once.tolist())]
+                tokens = [_packed(s.tokens[i:i + n]) if o else None for i, n, o in zip(s.begin.tolist(), s.size.tolist(), once.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.name.view(np.int64)), pa.array(tokens, pa.binary())], names=["id", "name", "tokens"])
 
         return cut(source.mapInArrow(run, "id long, name long, tokens binary"), "neardup-sets")
@@ -197,7 +226,7 @@ class Join:
         out = np.empty(len(tokens), _POSTING)
         out["token"], out["set"], out["bits"] = tokens >> np.uint64(32), s.name[owner], bits[owner]
         out["size"], out["at"] = size, at
-        return (tokens % np.uint64(buckets)).astype(np.int64), out
+        return ((tokens >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), out
 
     def candidates(self, sets: DataFrame, counts: np.ndarray, rows: int) -> DataFrame:
         """Distinct pairs (a, b) of set names, a < b, that no filter rules out."""
@@ -211,10 +240,10 @@ class Join:
                 at, rows = at[order], rows[order]
                 own, begin = np.unique(at, return_index=True)
                 ends = np.r_[begin[1:], len(at)]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([rows[i:j].tobytes() for i, j in zip(begin, ends)], pa.binary())], names=["bucket", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([_by_field(rows[i:j]) for i, j in zip(begin, ends)], pa.binary())], names=["bucket", "entries"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for b in batches for x in b.column(b.schema.names.index("entries"))])
+            rows = np.concatenate([_entries(x.as_buffer()) for b in batches for x in b.column(b.schema.names.index("entries"))])
             for a, b in self.pairs(rows):  # step by step: a bucket's pairs are never held together
                 a, b = a.view(np.int64), b.view(np.int64)
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -326,7 +355,7 @@ class Join:
 
         def verify(pairs: pa.Table, tokens: pa.Table) -> pa.Table:
             a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
-            own = {n: np.frombuffer(t.as_buffer(), np.uint64) for n, t in zip(tokens.column("name").to_pylist(), tokens.column("tokens").combine_chunks())}
+            own = {n: _unpacked(t.as_buffer()) for n, t in zip(tokens.column("name").to_pylist(), tokens.column("tokens").combine_chunks())}
             keep = self.verified(a, b, own)
             return pa.table({"a": a[keep], "b": b[keep]})
 
