@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm import vectors
 from quarrylight.storage import cut
 
-#: Counters of the sketch and bits of the candidate filter: least and most (8 to 128 MB, 2 to 128 MB), sized to the input in between.
-SLOTS, MOST_SLOTS, FILTER_BITS, MOST_FILTER_BITS, CHUNKS = 1 << 21, 1 << 25, 1 << 24, 1 << 30, 32
+#: Counters of the sketch: least and most (8 to 128 MB), sized to the input in between, and the pieces it is summed in.
+SLOTS, MOST_SLOTS, CHUNKS = 1 << 21, 1 << 25, 32
 #: Candidate pairs verified in one step, and pairs a leader may have before it gets several groups.
 GROUP = 60_000
 #: Entries of a block, entries a list may hold before it is cut in parts, entries planned for a bucket.
@@ -132,11 +132,6 @@ def _slot(tokens: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     return (tokens >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
-def _sized(n: int, least: int, most: int) -> int:
-    """A power of two near ``n`` within bounds."""
-    return max(least, min(most, 1 << max(n, 1).bit_length()))
-
-
 def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of sets of sizes a and b with similarity of ``percent`` % (in integers)."""
     return -(-(percent * (a.astype(np.int64) + b)) // (100 + percent))
@@ -175,7 +170,7 @@ class Join:
         own = sets.where("tokens IS NOT NULL").select("name", "tokens")
         parts = own.rdd.getNumPartitions()
         fan = max(1, parts // 256)
-        size = _sized(rows * 4, SLOTS, MOST_SLOTS)
+        size = vectors.sized(rows * 4, SLOTS, MOST_SLOTS)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = np.zeros(size, np.int64)
@@ -301,38 +296,15 @@ class Join:
     # --- verification ---------------------------------------------------------------------------
     def name_filter(self, pairs: DataFrame, rows: int) -> np.ndarray:
         """A Bloom filter of the names in ``pairs``: it decides which sets are moved, never which pairs are linked."""
-        size = _sized(rows * 8, FILTER_BITS, MOST_FILTER_BITS)
-
-        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits, some = np.zeros(size, bool), False
-            for b in batches:
-                for c in b.columns:
-                    for x in _hashes(c.to_numpy().view(np.uint64), size):
-                        bits[x] = some = True
-            if some:
-                packed = np.packbits(bits, bitorder="little").reshape(CHUNKS, -1)
-                for c in range(CHUNKS):
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed[c].tobytes()], pa.binary())], names=["chunk", "n"])
-
-        def join(table: pa.Table) -> pa.Table:
-            out = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("n")])
-            return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "n": pa.array([out.tobytes()], pa.binary())})
-
-        got = {r.chunk: r.n for r in pairs.select("a", "b").mapInArrow(fill, "chunk int, n binary").groupBy("chunk").applyInArrow(join, "chunk int, n binary").collect()}
-        return np.concatenate([np.frombuffer(got[c], np.uint8) if c in got else np.zeros(size // 8 // CHUNKS, np.uint8) for c in range(CHUNKS)])
+        return vectors.bloom(pairs.select("a", "b"), vectors.sized(rows * 8, vectors.LEAST_BITS, vectors.MOST_BITS))
 
     def involved(self, sets: DataFrame, wanted: np.ndarray) -> DataFrame:
         """(name, tokens), once each, of the sets whose name may be in the filter."""
         sent = sets.sparkSession.sparkContext.broadcast(wanted)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = sent.value
             for b in batches:
-                names = b.column(0).to_numpy().view(np.uint64)
-                hit = np.ones(len(names), bool)
-                for x in _hashes(names, len(bits) * 8):
-                    hit &= (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
-                yield b.filter(pa.array(hit))
+                yield b.filter(pa.array(vectors.maybe_in(b.column(0).to_numpy().view(np.uint64), sent.value)))
 
         own = sets.where("tokens IS NOT NULL").select("name", "tokens").mapInArrow(run, "name long, tokens binary")
         return own.groupBy("name").agg(F.min("tokens").alias("tokens"))
@@ -408,11 +380,6 @@ class Join:
         return keep
 
 
-def _hashes(names: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    for k in range(3):
-        yield (vectors.finish(names + np.uint64(k * 77 + 1)) % np.uint64(size)).astype(np.int64)
-
-
 def _steps(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of ``counts`` whose sums stay near ``most``."""
     total = np.cumsum(counts)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 from quarrylight.functions.words import NOT_WORD
 
+#: Bits of a Bloom filter: least and most (2 to 128 MB), and the pieces it is put together from.
+LEAST_BITS, MOST_BITS, CHUNKS = 1 << 24, 1 << 30, 32
+
 #: Odd multipliers of the rolling hashes (fixed values: golden-ratio fractions).
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
@@ -60,3 +66,43 @@ def windows(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
         h = h * _MIX[0] + (words[start + k] ^ _MIX[k % 5])
         h ^= h >> np.uint64(29)
     return finish(h), out
+
+
+def sized(n: int, least: int, most: int) -> int:
+    """A power of two near ``n`` within bounds."""
+    return max(least, min(most, 1 << max(n, 1).bit_length()))
+
+
+def _places(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    for k in range(3):
+        yield (finish(keys + np.uint64(k * 77 + 1)) % np.uint64(size)).astype(np.int64)
+
+
+def bloom(keys: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of ``size`` bits of all longs in ``keys``, as bytes; pieces are put together by tasks, and its size is all the driver sees."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, some = np.zeros(size, bool), False
+        for b in batches:
+            for c in b.columns:
+                for x in _places(c.to_numpy().view(np.uint64), size):
+                    bits[x] = some = True
+        if some:
+            packed = np.packbits(bits, bitorder="little").reshape(CHUNKS, -1)
+            for c in range(CHUNKS):
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed[c].tobytes()], pa.binary())], names=["chunk", "n"])
+
+    def join(table: pa.Table) -> pa.Table:
+        out = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("n")])
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "n": pa.array([out.tobytes()], pa.binary())})
+
+    got = {r.chunk: r.n for r in keys.mapInArrow(fill, "chunk int, n binary").groupBy("chunk").applyInArrow(join, "chunk int, n binary").collect()}
+    return np.concatenate([np.frombuffer(got[c], np.uint8) if c in got else np.zeros(size // 8 // CHUNKS, np.uint8) for c in range(CHUNKS)])
+
+
+def maybe_in(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each key may be in a filter; a key that is in it always may."""
+    hit = np.ones(len(keys), bool)
+    for x in _places(keys, len(bits) * 8):
+        hit &= (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+    return hit

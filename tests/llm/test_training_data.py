@@ -271,6 +271,21 @@ def test_reparameterised_items_are_told_from_chance(spark, monkeypatch, sent):
     assert {(r.doc_id, r.exact) for r in rows if r.windows == 4} == {(1, False)}
 
 
+def test_both_ways_of_finding_leaks_give_the_same_columns(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [(i, f"when {rng.choice(['two', 'nine', '17'])} boats met {sentence(rng, 9)} for {i} euros and {rng.randrange(9)} days {sentence(rng, 4)}") for i in range(12)] + [(50, "one"), (51, "the door"), (52, items_twice := "old map of the hill")]
+    docs = []
+    for d in range(80):
+        t = rng.choice(items)[1].split()
+        t = [str(rng.randrange(99)) if w.isdigit() and rng.random() < 0.7 else w for w in t]
+        docs.append((d, " ".join([*sentence(rng, 20).split(), *t, *sentence(rng, 5).split(), *rng.choice([items_twice, "the door"]).split()])))
+    df, it = table(spark, docs, "doc_id long, text string"), table(spark, items, "item_id long, text string")
+    plain = sorted(tuple(r) for r in leaks.leaked(df, it).collect())
+    monkeypatch.setattr(leaks, "SENT_WORDS", 1)
+    assert sorted(tuple(r) for r in leaks.leaked(df, it).collect()) == plain
+    assert sum(not r[2] for r in plain) > 5 and sum(r[2] for r in plain) > 80
+
+
 @pytest.mark.parametrize("sent", [4_000_000, 1])
 def test_a_slot_that_is_kept_and_changed_is_no_item(spark, monkeypatch, sent):
     monkeypatch.setattr(leaks, "SENT_WORDS", sent)
