@@ -4,6 +4,11 @@ Detection goes by type. One linear pass over a batch says which texts can hold a
 those meet its patterns. Types are taken in an order in which what is found first is not looked at
 again, so that a street name is no person and an identity number no telephone number.
 
+Given names come from a list and from the texts themselves (``learned``): a word in capitals that
+stands before several of the family names that follow listed given names, and before few other
+words, is a given name too. Any word in capitals that is no ordinary one is a family name after a
+given name; an ending that many family names have is further evidence, never a condition.
+
 Surrogates are keyed: the same detail (whatever its case and spacing) always becomes the same
 substitute, of the same type, format, case and, for names, gender class; two different details
 never share one, which is checked over all details and mended by drawing again.
@@ -25,19 +30,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.llm.quality import FUNCTION_WORDS
-from quarrylight.llm.vectors import plain
+from quarrylight.llm.vectors import plain, split_words
 from quarrylight.storage import cut
 
 TYPES = ("email", "address", "id_number", "phone", "person")
 
-#: Endings of files that look like domains; kinds of streets; labels of numbers; endings of family names; particles; given names beside the list.
+#: Endings of files that look like domains; kinds of streets; labels of numbers; endings of family names; particles.
 _FILES = ("png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "css", "js", "json", "pdf", "zip")
 _STREET = r"(?:street|st|road|rd|avenue|ave|boulevard|blvd|drive|dr|lane|ln|close|terrace|court|ct|way|square|sq|place|pl|crescent|gardens|grove|hill|row|walk|mews|parade|circle|highway|hwy|parkway|pkwy)"
 _ID_LABELS = (r"(?:passports?|reisepass|passeport|pasaporte|personalausweis|ausweis|id card|identity card|identity|carte d['’]identité|ssn|social security|soc\. sec\.|social insurance|national insurance|ni number|nino|"
               r"tax id|tax number|tax identification number|tin|steuer-?id|steuernummer|steueridentifikationsnummer|dni|nie|nif|documento|numéro fiscal|codice fiscale|personnummer|person no|national id|id number)")
 _FAMILY = r"(?:vik|by|ford|ova|enko|etti|elli|sson|son|ner|str[öo]m|stroem|berry|macher|mond|ides|ander|quist|holm|gaard|ley|wright)"
 _PARTICLES = r"(?:van der|van den|van|von der|von|zu|ter|de la|de los|del|della|de|du|des|di|da|la|le|al|el|bin|ben|af|av)"
-MORE_NAMES = frozenset("viola hedda edvin tindra cosimo anselm jorunn stellan odette veska katla dagny birgit tekla emeric".split())
+#: Different family names a word must stand before to be taken for a given name, and names that may be learned.
+LEAST_FAMILIES, MOST_LEARNED = 2, 200_000
 #: Ordinary words with such an ending.
 _NOT_FAMILY = frozenset("""container banner corner manner owner donor scanner planner partner inner dinner runner winner designer cleaner tuner person season reason lesson mason nelson prison poison comparison
 nearby standby hobby ruby baby rugby lobby derby valley alley volley trolley barley medley parsley diamond almond commander wander colander lander bystander strawberry raspberry blueberry oxford afford effort
@@ -198,16 +204,28 @@ def find(text: str, names: frozenset[str], types: set[str] | None = None) -> lis
 def _types_of(texts: pa.Array, names: frozenset[str]) -> list[set[str]]:
     flat = pc.replace_substring_regex(texts, r"\s+", " ")
     low = pc.utf8_lower(flat)
-    listed = r"\b(?:" + "|".join(map(re.escape, sorted(names))) + r")\b"
-    hits = {k: pc.match_substring_regex(low, p) for k, p in NEAR.items()}
-    hits["person"] = pc.or_(pc.match_substring_regex(flat, _TITLED), pc.match_substring_regex(low, listed))
+    hits = {k: pc.match_substring_regex(low, p).to_numpy(zero_copy_only=False) for k, p in NEAR.items()}
+    hits["person"] = pc.match_substring_regex(flat, _TITLED).to_numpy(zero_copy_only=False) | _with_name(texts, names)
     out: list[set[str]] = [set() for _ in range(len(texts))]
     for kind, hit in hits.items():
-        for k in np.flatnonzero(hit.to_numpy(zero_copy_only=False)).tolist():
+        for k in np.flatnonzero(hit).tolist():
             out[k].add(kind)
     return out
 
 
+def _with_name(texts: pa.Array, names: frozenset[str]) -> np.ndarray:
+    """Which texts have a given name among their words: each distinct word of the batch is looked up once."""
+    words, offsets = split_words(texts)
+    if not len(words):
+        return np.zeros(len(texts), bool)
+    coded = words.dictionary_encode()
+    known = np.array([w in names for w in coded.dictionary.to_pylist()], bool)[coded.indices.to_numpy()]
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    out = np.zeros(len(texts), bool)
+    out[owner[known]] = True
+    return out
+
+
 def _spans(texts: pa.Array, names: frozenset[str]) -> Iterator[tuple[int, str, list[tuple[int, int, str]]]]:
     likely = _types_of(texts, names)
     rows = [k for k, t in enumerate(likely) if t]
@@ -218,7 +236,42 @@ def _spans(texts: pa.Array, names: frozenset[str]) -> Iterator[tuple[int, str, l
 
 @lru_cache(maxsize=4)
 def _frozen(names: tuple[str, ...]) -> frozenset[str]:
-    return frozenset(names) | MORE_NAMES
+    return frozenset(names)
+
+
+_CAPITALS = re.compile(rf"(?<![\w@.'-])(?=([^\W\d_]{{2,}}){_INITIALS}(?:[ \n]{_PARTICLES})?[ \n]([^\W\d_]{{2,}}(?:-[^\W\d_]+)*)(?![\w@]|\.\w))")
+
+
+def learned(df: DataFrame, listed: tuple[str, ...], text: str = "text") -> tuple[str, ...]:
+    """Given names the texts show beside the ``listed`` ones, in lower case.
+
+    Pairs of neighbouring words in title case (initials and particles between them) are made
+    distinct over all texts. The second word of a pair whose first is listed is a family name. A
+    first word that is no ordinary word, stands before LEAST_FAMILIES of them or more, and before
+    as many of them as of other words, is a given name. More than MOST_LEARNED are an error.
+    """
+    known = frozenset(listed)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = plain(b.column(0))
+            near = pc.match_substring_regex(texts, r"\p{Lu}\p{Ll}+(?:\s\p{L}\.)*(?:\s\p{Ll}{1,3}){0,2}\s\p{Lu}\p{Ll}")
+            found = set()
+            for t in texts.filter(near).to_pylist():
+                for m in _CAPITALS.finditer(t):
+                    g, f = m.group(1), m.group(2)
+                    if g[0].isupper() and f[0].isupper() and g[1:].islower() and f.lower() not in _THINGS and f.lower() not in known:
+                        found.add((g.lower(), f.lower()))
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.string()), pa.array([g in known for g, _ in rows], pa.bool_())], names=["g", "f", "listed"])
+
+    every = cut(df.where(F.col(text).isNotNull()).select(F.col(text).cast("string")).mapInArrow(pairs, "g string, f string, listed boolean").distinct(), "name-pairs")
+    family = every.where("listed").select("f").distinct().withColumn("known", F.lit(1))
+    told = every.where("NOT listed").join(family, "f", "left").groupBy("g").agg(F.count("known").alias("families"), F.count(F.lit(1)).alias("pairs"))
+    rows = told.where((F.col("families") >= LEAST_FAMILIES) & (F.col("families") * 2 >= F.col("pairs"))).select("g").limit(MOST_LEARNED + 1).collect()
+    if len(rows) > MOST_LEARNED:
+        raise ValueError(f"more than {MOST_LEARNED:,} words look like given names")
+    return tuple(sorted(r.g for r in rows if r.g not in _THINGS))
 
 
 def known_names(names: DataFrame | None) -> tuple[str, ...]:
@@ -231,12 +284,18 @@ def known_names(names: DataFrame | None) -> tuple[str, ...]:
     return tuple(sorted(r[0] for r in rows if r[0]))
 
 
+def all_names(df: DataFrame, names: DataFrame | None, text: str) -> tuple[str, ...]:
+    """Listed and learned given names."""
+    listed = known_names(names)
+    return tuple(sorted({*listed, *learned(df, listed, text)}))
+
+
 def details(df: DataFrame, names: DataFrame | None = None, number: str = "find_id", text: str = "text") -> DataFrame:
     """(number, pii_type, found): the distinct personal details of each text, as they stand there.
 
     NULL and empty texts have none; texts are read whole, where they lie; other columns are not read.
     """
-    return _details(df, known_names(names), number, text)
+    return _details(df, all_names(df, names, text), number, text)
 
 
 def _details(df: DataFrame, listed: tuple[str, ...], number: str, text: str) -> DataFrame:
@@ -260,7 +319,7 @@ def redacted(df: DataFrame, names: DataFrame | None = None, number: str = "find_
 
     Every row comes out; a NULL text stays NULL.
     """
-    listed = known_names(names)
+    listed = all_names(df, names, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _frozen(listed)
@@ -365,7 +424,7 @@ def _cased(made: str, like: str, whole: bool = False) -> str:
 
 def surrogates(df: DataFrame, key: bytes, names: DataFrame | None = None, number: str = "find_id", text: str = "text", rounds: int = 16) -> DataFrame:
     """(pii_type, entity, surrogate): see ``_drawn``."""
-    return _drawn(df, key, known_names(names), number, text, rounds).select("pii_type", "entity", "surrogate")
+    return _drawn(df, key, all_names(df, names, text), number, text, rounds).select("pii_type", "entity", "surrogate")
 
 
 def _drawn(df: DataFrame, key: bytes, listed: tuple[str, ...], number: str, text: str, rounds: int = 16) -> DataFrame:
@@ -406,7 +465,7 @@ def replaced(df: DataFrame, key: bytes, names: DataFrame | None = None, number:
     Every row comes out; a NULL text stays NULL. Only the few details drawn again because of a
     collision are joined with the texts; all others follow from the key alone.
     """
-    listed = known_names(names)
+    listed = all_names(df, names, text)
     again = _drawn(df, key, listed, number, text).where("attempt > 0").select("pii_type", "entity", "attempt")
     own = _details(df, listed, number, text).withColumn("entity", _entity()("pii_type", "found")).join(again, ["pii_type", "entity"])
     own = own.groupBy(F.col(number).alias("_n")).agg(F.collect_list(F.struct("pii_type", "entity", "attempt")).alias("_again"))

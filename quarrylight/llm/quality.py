@@ -2,9 +2,13 @@
 
 Per text: counts and ratios of words, symbols, punctuation and common words, and three measures of
 layout: how far delimiters stand in line with each other vertically, how regularly lines begin
-alike, and the autocorrelation of line lengths. The judgement is by *words*: a word belongs to
-prose if a function word stands close to it and its line is no table row, list item (marked, or one
-of several short lines indented alike) or label-value line; a text is not prose if most of its words don't.
+alike, by mark or indentation, and the autocorrelation of line lengths. Words are measured too: a
+word is *loose* if no function word stands close to it, or its line is a table row, list item
+(marked, or one of several short lines indented alike) or label-value line.
+
+The judgement is a linear one over all of them, fitted on a bounded sample of labelled texts
+(``fitted``): half of the sample is fitted on, the other half tells the error. Without labels of
+both kinds a text is not prose if most of its words are loose.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.words import NOT_WORD
@@ -46,6 +50,12 @@ _DELIMITERS = ("|", "\t", ";", ",", "<td>", "||")
 _WORD = re.compile(r"[^\W_]+")
 
 
+#: Labelled texts a model is fitted and tested on, at most, and the least that are enough.
+MOST_LABELS, LEAST_LABELS = 20_000, 20
+#: What the judgement looks at: the share of loose words, whether they are the most, layout, ratios.
+FEATURES = ("loose_share", "loose_most", "alignment", "periodicity", "autocorrelation", "symbol_ratio", "digit_ratio", "lines_ending_in_punctuation", "common_word_share", "mean_word_length")
+
+
 def _autocorrelation(lengths: list[int]) -> float:
     """Of line lengths at lag 1; 1 for equal lines, 0 for fewer than three."""
     if len(lengths) < 3:
@@ -65,6 +75,17 @@ def _row_of(line: str) -> tuple[str, int] | None:
     return ("  ", n) if n >= 1 else None
 
 
+def _columns(line: str, delimiter: str) -> list[int]:
+    if delimiter == "  ":
+        return [m.end() for m in re.finditer(r"\S {2,}(?=\S)", line)]
+    return [m.start() for m in re.finditer(re.escape(delimiter), line)]
+
+
+def _below(above: str, line: str, delimiter: str) -> bool:
+    """Whether the delimiters of a line stand in the columns, one to the side at most, of those of the line above."""
+    return all(abs(x - y) <= 1 for x, y in zip(_columns(above, delimiter), _columns(line, delimiter)))
+
+
 def _item_of(line: str) -> bool:
     """Whether an indented line is short and ends in no sentence, as no line of a wrapped paragraph but its last is."""
     return len(line.split()) <= 6 and line.rstrip()[-1:] not in (".", "!", "?", ",", ";", "…")
@@ -73,8 +94,9 @@ def _item_of(line: str) -> bool:
 def layout(text: str) -> tuple[float, float, float, list[bool]]:
     """(alignment, periodicity, autocorrelation, structural) of a text of several lines.
 
-    alignment: share of lines with the delimiters of the line before; periodicity: share of lines
-    that begin as a line shortly before does; structural: for each line, whether it is a table
+    alignment: share of lines whose delimiters stand below those of the line before, half for as
+    many that don't; periodicity: share of lines that begin as a line shortly before does, by mark
+    or indentation; structural: for each line, whether it is a table
     row, list item or label-value line among others of its kind.
     """
     lines = text.split("\n")
@@ -97,7 +119,7 @@ def layout(text: str) -> tuple[float, float, float, list[bool]]:
     indented = {k: x for k, d in indents.items() if d and (x := _item_of(lines[k])) and k not in marks}
     if len(indented) >= 3 and len(indented) * 3 >= 2 * sum(d > 0 for d in indents.values()):  # else a wrapped paragraph
         marks |= dict.fromkeys(indented, "indent")
-    aligned = [k for a, k in zip(full, full[1:]) if rows[k] and rows[k] == rows[a]]
+    aligned = sum(1.0 if _below(lines[a], lines[k], rows[k][0]) else 0.5 for a, k in zip(full, full[1:]) if rows[k] and rows[k] == rows[a])
     tabular = {k for k in full if rows[k] and kinds[rows[k]] >= 3 and (rows[k][0] != "," or _few_function_words(lines[k]))}
     counts = Counter(marks.values())
     period = sum(any(marks.get(k) and marks.get(k) == marks.get(j) for j in full[max(0, i - 2):i]) for i, k in enumerate(full)) / len(full)
@@ -111,7 +133,7 @@ def layout(text: str) -> tuple[float, float, float, list[bool]]:
             structural[k] = counts["label"] >= 3 and counts["label"] * 3 >= 2 * (len(full) - 1)
         elif kind:
             structural[k] = counts[kind] >= 3 and _few_function_words(lines[k])
-    return len(aligned) / len(full), period, _autocorrelation([len(lines[k]) for k in full]), structural
+    return aligned / len(full), period, _autocorrelation([len(lines[k]) for k in full]), structural
 
 
 def _few_function_words(line: str) -> bool:
@@ -184,23 +206,85 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         "common_word_share": add(stop * 1.0) / safe, "loose_words": add(size * loose).astype(np.int64)}
 
 
-def statistics(df: DataFrame, number: str = "find_id", text: str = "text") -> DataFrame:
+class Model:
+    """A linear judgement over FEATURES, standardised; positive is prose."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, bias: float, held: int = 0, wrong: int = 0, wrong_by_loose: int = 0):
+        self.mean, self.scale, self.weights, self.bias = mean, scale, weights, bias
+        self.held, self.wrong, self.wrong_by_loose = held, wrong, wrong_by_loose
+
+    @classmethod
+    def of(cls, x: np.ndarray, prose: np.ndarray, steps: int = 60, ridge: float = 0.3) -> Model:
+        """Ridge logistic regression by Newton steps."""
+        mean, scale = x.mean(0), x.std(0) + 1e-9
+        z = np.c_[np.ones(len(x)), (x - mean) / scale]
+        w, penalty = np.zeros(z.shape[1]), np.diag([1e-6] + [ridge] * x.shape[1])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, z.T @ (p - prose) + penalty @ w)
+            w -= step
+            if np.abs(step).max() < 1e-9:
+                break
+        return cls(mean, scale, w[1:], float(w[0]))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.bias + (x - self.mean) / self.scale @ self.weights
+
+    def column(self) -> Column:
+        """The score as an expression over the columns of ``statistics``."""
+        score = F.lit(self.bias - float(self.mean / self.scale @ self.weights))
+        for name, w in zip(FEATURES, self.weights / self.scale):
+            score = score + feature(name) * F.lit(float(w))
+        return score
+
+
+def feature(name: str) -> Column:
+    if name == "loose_share":
+        return F.col("loose_words") / F.greatest(F.col("n_words"), F.lit(1))
+    if name == "loose_most":
+        return (F.col("loose_words") * 2 > F.col("n_words")).cast("double")
+    return F.col(name)
+
+
+def fitted(df: DataFrame, labels: DataFrame, number: str = "find_id", text: str = "text", form: str = "form", prose: str = "prose", least: int = 15) -> Model | None:
+    """A model of the labelled texts of ``df`` with ``least`` words or more, or None where labels are too few or of one kind.
+
+    At most MOST_LABELS labels are taken, those of the least hash of their number; of several
+    labels of a number the least counts. Half of them, by another bit of the hash, are fitted on;
+    the model keeps the errors it makes on the other half, and those of the share of loose words alone.
+    """
+    once = labels.where(F.col(number).isNotNull() & F.col(form).isNotNull()).groupBy(F.col(number).alias("_n")).agg((F.min(F.lower(F.trim(form))) == prose).alias("_prose"))
+    drawn = once.orderBy(F.xxhash64("_n"), "_n").limit(MOST_LABELS)
+    own = df.select(F.col(number).alias("_n"), F.col(text).cast("string").alias("_t")).join(F.broadcast(drawn), "_n")  # MOST_LABELS rows at most
+    measured = statistics(own, "_n", "_t", keep=("_prose",)).where(F.col("n_words") >= least).dropDuplicates(["_n"])
+    rows = measured.select("_prose", (F.xxhash64("_n", F.lit(1)).bitwiseAND(F.lit(1)) == 1).alias("held"), *(feature(f).alias(f) for f in FEATURES)).collect()
+    x, y, held = np.array([r[2:] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[0] for r in rows], bool), np.array([r[1] for r in rows], bool)
+    if len(rows) < LEAST_LABELS or len(set(y[~held].tolist())) < 2:
+        return None
+    model = Model.of(x[~held], y[~held])
+    model.held, model.wrong = int(held.sum()), int(((model.score(x) > 0) != y)[held].sum())
+    model.wrong_by_loose = int(((x[:, FEATURES.index("loose_most")] == 0) != y)[held].sum())
+    return model
+
+
+def statistics(df: DataFrame, number: str = "find_id", text: str = "text", model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(number, statistics, prose): one row for each row of ``df``; a NULL or empty text has zeros and is no prose.
 
-    Texts are measured whole, in the task that reads them; nothing is moved. Other columns are
-    neither read nor kept.
+    Texts are measured whole, in the task that reads them; nothing is moved. Other columns, but
+    those to ``keep``, are neither read nor kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = measure(plain(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[c], t) for c, t in _FIELDS)], names=[number, *(c for c, _ in _FIELDS)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[c], t) for c, t in _FIELDS), *b.columns[2:]], names=[number, *(c for c, _ in _FIELDS), *keep])
 
-    kind = df.schema[number].dataType.simpleString()
-    out = df.select(number, F.col(text).cast("string")).mapInArrow(run, f"`{number}` {kind}, {SCHEMA}")
-    return out.withColumn("prose", (F.col("n_words") > 0) & (F.col("loose_words") * 2 <= F.col("n_words")))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (number, *keep)}
+    out = df.select(number, F.col(text).cast("string"), *keep).mapInArrow(run, f"`{number}` {kinds[number]}, {SCHEMA}" + "".join(f", `{c}` {kinds[c]}" for c in keep))
+    fine = F.col("loose_words") * 2 <= F.col("n_words") if model is None else model.column() > 0
+    return out.withColumn("prose", (F.col("n_words") > 0) & fine)
 
 
-def not_prose(df: DataFrame, number: str = "find_id", text: str = "text", least: int = 15) -> DataFrame:
-    """Numbers of the texts of ``least`` words or more most of whose words are in no sentence."""
-    return statistics(df, number, text).where((F.col("n_words") >= least) & ~F.col("prose")).select(number)
+def not_prose(df: DataFrame, number: str = "find_id", text: str = "text", least: int = 15, model: Model | None = None) -> DataFrame:
+    """Numbers of the texts of ``least`` words or more that are no sentences by ``model``, or, without one, most of whose words are loose."""
+    return statistics(df, number, text, model).where((F.col("n_words") >= least) & ~F.col("prose")).select(number)

@@ -33,11 +33,22 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     finds = table(spark, d, "finds").where("score IS NOT NULL AND kind IS DISTINCT FROM 'ascii_art'")
-    return quality.not_prose(finds)
+    return quality.not_prose(finds, model=_model(spark, d))
+
+
+def _model(spark: SparkSession, d: str) -> quality.Model | None:
+    return quality.fitted(table(spark, d, "finds"), table(spark, d, "find_labels"))
+
+
+def p3_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the fitted judgement on the labels it was not fitted on, and of the share of loose words alone; weights by feature."""
+    m = _model(spark, d)
+    rows = [(f, round(float(w), 6), m.held, m.wrong, m.wrong_by_loose) for f, w in zip(quality.FEATURES, m.weights)] if m else []
+    return spark.createDataFrame(rows, "feature string, weight double, held_out int, wrong int, wrong_by_loose_words int")
 
 
 def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
-    out = quality.statistics(table(spark, d, "finds").where("score IS NOT NULL"))
+    out = quality.statistics(table(spark, d, "finds").where("score IS NOT NULL"), model=_model(spark, d))
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
@@ -95,5 +106,5 @@ def p9_repetition(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_error_rate, p3_found, p3_statistics, p4_found, p4_redacted, p4_surrogates, p4_surrogate_texts,
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_error_rate, p3_found, p3_held_out, p3_statistics, p4_found, p4_redacted, p4_surrogates, p4_surrogate_texts,
                                        p6_found, p6_clean_finds, p7_found, p7_reparameterised, p8_mix, p8_shares, p9_found, p9_repetition)}

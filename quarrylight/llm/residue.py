@@ -21,18 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import urls
+from quarrylight.llm.quality import FUNCTION_WORDS
 from quarrylight.llm.vectors import plain
 from quarrylight.storage import cut
 
-#: Words of filler Latin (fixed values): the well-known passage and words commonly mixed with it.
-LATIN = ("lorem", "ipsum", "dolor", "dolorem", "dolore", "sit", "amet", "consectetur", "adipiscing", "elit", "sed", "eiusmod", "tempor", "incididunt",
-         "labore", "magna", "aliqua", "aliquor", "enim", "minim", "veniam", "quis", "nostrud", "exercitation", "ullamco", "laboris", "nisi", "aliquip",
-         "commodo", "consequat", "duis", "aute", "irure", "reprehenderit", "voluptate", "velit", "velut", "esse", "cillum", "fugiat", "fugit", "nulla",
-         "pariatur", "excepteur", "sint", "occaecat", "cupidatat", "proident", "sunt", "culpa", "officia", "deserunt", "mollit", "anim", "laborum",
-         "quisque", "tamen", "bene", "cordis", "grave", "navem", "vexit", "locat", "menta", "umbrae", "rivus", "stella", "pelago", "calor", "solutor",
-         "tristor", "laculis", "arbora", "porrectis", "montem", "sitam", "ambitor", "vestibulum", "curabitur", "pellentesque", "habitant", "morbi")
+#: Words that stand in the well-known filler passage and in no other language (fixed values), and endings of Latin words.
+LATIN = ("lorem", "ipsum", "dolor", "dolorem", "dolore", "amet", "consectetur", "adipiscing", "eiusmod", "incididunt", "aliqua", "veniam", "nostrud", "ullamco", "laboris", "aliquip",
+         "consequat", "aute", "irure", "reprehenderit", "voluptate", "cillum", "fugiat", "pariatur", "excepteur", "occaecat", "cupidatat", "proident", "deserunt", "mollit", "laborum")
+_ENDING = r"(?:us|um|is|it|at|et|or|ae|am|em|im|os|as|nt|ur|ut|ix|en|ed|a|o|e)"
+_LATIN = r"(?:(?!(?:" + "|".join(sorted(FUNCTION_WORDS - {"sed", "se"})) + rf")\b)[a-z]+{_ENDING}\b)"
+#: Filler: five words or more that all end as Latin ones do, no function word of a living language among them, and one of the passage.
+FILLER = rf"\b(?=(?:{_LATIN}[ .,;]+){{0,16}}(?:{'|'.join(LATIN)})\b)(?:{_LATIN}[ .,;]+){{4,}}{_LATIN}"
 
-_LATIN = "(?:" + "|".join(LATIN) + ")"
 #: What stands before and after a slot that is only talked about.
 _QUOTE = r"(?<!['\"‘“`])"
 _TALK = r"(?!['\"’”`]|\s*(?:braces|brackets|syntax|tags?|notation|tokens?|markers?|placeholders?)\b)"
@@ -63,12 +63,14 @@ DETECTORS = (
     ("placeholder", ("einsetzen]", "eintragen]", " here]", "insérer]", "insertar]"), _QUOTE + r"\[[^\[\]]{1,40} (?:einsetzen|eintragen|here|insérer|insertar)\]" + _TALK),
     ("placeholder", ("<insert", "<your", "<enter"), r"<(?:insert|your|enter) [\w ]{1,40}>" + _TALK),
     ("placeholder", (":",), r"(?<![\w:]):[a-z]+_[a-z_]+:(?![\w:])" + _TALK),
+    ("placeholder", ("[", "{", "<"), r"\b(?:hello|hi|dear|welcome|thanks|thank you|regards|sincerely|by|from|for|to)[ ,:]+(?:\[(?!at\]|dot\])[a-z]+(?:[ _-][a-z]+){0,3}\]|\{[a-z]+(?:[ _-][a-z]+){0,3}\}|<[a-z]+(?:[ _-][a-z]+){1,3}>)" + _TALK),
+    ("placeholder", ("{",), _QUOTE + r"(?<![\w(){}\]$#%])\{[a-z]+(?:_[a-z]+)+\}(?![\w(){}\[])" + _TALK),
     ("placeholder", ("name here",), _QUOTE + r"\byour (?:company )?name here\b" + _TALK),
     ("placeholder", ("[object",), r"\[object object\]" + _TALK),
     ("placeholder", ("undefined", "null", "nan", "none"), _FRAME + r"(?:undefined|null|nan|none)(?=[,:.;!]| (?:\w+ly|is|was) )"),
     ("placeholder", ("hello ,", "dear ,", "copyright ,", "welcome to ,"), r"\b(?:hello|dear|copyright|welcome to) ,(?= \w)"),
     # filler
-    ("filler", ("lorem", "ipsum", "dolor", "velut", "quisque", "tamen", "aliqu", "nulla", "fugit"), rf"\b{_LATIN}(?:[ .,;]+{_LATIN}){{4,}}"),
+    ("filler", ("lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "eiusmod"), FILLER),
     ("filler", ("sample text",), r"\bsample text (?:for|about)\b"),
     ("filler", ("placeholder",), r"\bplaceholder (?:headline|text|copy|title|paragraph)\b"),
     ("filler", ("dummy ",), r"\bdummy (?:copy|text),"),
@@ -81,6 +83,8 @@ DETECTORS = (
     # messages of servers and gates
     ("error_page", ("nginx", "openresty", "httpd", "apache", "iis", "caddy", "lighttpd", "cloudflare", "varnish", "tomcat"), rf"\b[45]\d\d {_REASON} {_SERVER}\b"),
     ("error_page", ("error 4", "error 5"), rf"\berror [45]\d\d: (?:{_REASON}|[^.]{{1,60}}\(ref )"),
+    ("error_page", ("40", "50", "41", "42"), rf"^\W*(?:http |error |status |code )*[45]\d\d\b[ :.,–—-]*(?:error[ :–—-]+)?{_REASON}\b"),
+    ("error_page", (" found", " exist", "located"), r"(?:^|[.!?:] )(?:oops|sorry|uh-oh|whoops)?[!,.]* ?(?:that|this|the) (?:requested )?(?:page|resource|address|url|file|document)(?: you (?:requested|asked for|were looking for|are looking for))? (?:could not be|can(?:not|['’]t) be|was not|is not|does not|doesn['’]t|no longer|isn['’]t) ?(?:found|located|exists?)\b"),
     ("error_page", ("the page you ",), r"\b[45]\d\d [-–—] the page you "),
     ("error_page", ("database",), r"\bcould not connect to the database\b|\berror establishing a database connection"),
     ("error_page", ("suspended",), r"\baccount (?:has been )?suspended\. contact"),
@@ -108,7 +112,8 @@ CLASSES = ("placeholder", "filler", "error_page", "script_notice", "weak")
 
 #: Patterns, instead of their literals, of the detectors whose literals are frequent in ordinary text.
 _RARER = {
-    (":",): r":[a-z]+_[a-z_]+:", ("{",): r"\{\d\}", (" about ",): r"(?:heading|headline|title|text|slogan) about ", ("in this ",): r"in this (?:box|field)",
+    (":",): r":[a-z]+_[a-z_]+:", ("{",): r"\{\d\}|\{[a-z]+_[a-z_]+\}", ("[", "{", "<"): r"(?:hello|hi|dear|welcome|thanks|thank you|regards|sincerely|by|from|for|to)[ ,:]+[\[{<][a-z]",
+    ("40", "50", "41", "42"): rf"^\W*(?:http |error |status |code )*[45]\d\d\b[ :.,–—-]*(?:error[ :–—-]+)?{_REASON}", (" found", " exist", "located"): r"(?:page|resource|address|url|file|document)(?: you [a-z ]{1,20})? (?:could not|can(?:not|['’]t)|was not|is not|does not|doesn['’]t|no longer|isn['’]t)", (" about ",): r"(?:heading|headline|title|text|slogan) about ", ("in this ",): r"in this (?:box|field)",
     ("undefined", "null", "nan", "none"): r"(?:hello|dear|welcome to|copyright|open since|by|for|from|thanks to) (?:undefined|null|nan|none)",
     ("incident ", "trace ", "(ref ", "request "): r"(?:incident|trace|request|\(ref) [0-9a-f]{6}",
 }

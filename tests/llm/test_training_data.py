@@ -363,6 +363,30 @@ def test_prose_is_told_from_other_forms(spark):
     assert quality.statistics(df.limit(0)).count() == 0
 
 
+def test_a_model_is_fitted_on_labels_and_layout_takes_part(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(120):
+        if i % 4 == 3:
+            text = "\n".join(f"- {rng.choice(['tidy', 'loose', 'very plain'])} {rng.choice(['lamp', 'boat'])}" for _ in range(8))
+        elif i % 2:
+            text = "\n".join(f"{rng.choice(['ab', 'cd', 'ef'])}{k} | {rng.randrange(100, 999)} | {rng.choice(['on', 'no'])}" for k in range(8))
+        else:
+            text = f"The {rng.choice(['old', 'red'])} door of the mill was {rng.choice(['open', 'shut'])}, because {sentence(rng, 4)} and nobody had seen it at all."
+        rows.append((i, text))
+        labels.append((i, "table" if i % 2 else " Prose "))
+    df, known = table(spark, rows, "find_id long, text string"), spark.createDataFrame([*labels, (None, "prose"), (900, "prose"), (3, None)], "find_id long, form string")
+    model = quality.fitted(df, known)
+    assert model.held > 30 and model.wrong == 0
+    assert {r.find_id for r in quality.not_prose(df, model=model).collect()} == {i for i in range(120) if i % 2}
+    kept = quality.statistics(df, model=model).collect()
+    x = np.array([[r.loose_words / r.n_words, r.loose_words * 2 > r.n_words, *(r[f] for f in quality.FEATURES[2:])] for r in kept], float)
+    assert ((model.score(x) > 0) == [r.prose for r in kept]).all()
+    for k in (2, 3, 4):  # each measure of layout moves the verdict
+        assert abs(model.weights[k]) > 0 and not np.allclose(model.score(x), model.score(np.where(np.arange(x.shape[1]) == k, model.mean, x)))
+    assert quality.fitted(df, known.limit(0)) is None and quality.fitted(df.limit(0), known) is None
+
+
 def test_indented_lists_are_no_prose():
     import pyarrow as pa
 
@@ -400,6 +424,19 @@ def test_family_names_of_any_ending_are_found_after_listed_names():
     assert [text[a:b] for a, b, _ in pii.find(text, names)] == ["Anna Weber", "Maria Rossi", "John A. Smith", "Otis de la Cruz", "Viola O'Brien-Hale", "Anna Maria Keller", "Weber, Anna", "JOHN SMITH"]
 
 
+def test_given_names_are_learned_from_the_texts(spark):
+    families = ["Miller", "Garcia", "Schmidt", "Dupont", "Brown", "Nguyen"]
+    rows = [(i, f"Thanks to Anna {f} for it.") for i, f in enumerate(families)]
+    rows += [(20 + i, f"Later James {f} came, and so did Wei T. de la {f}.") for i, f in enumerate(families[:3])]
+    rows += [(40, "James Okafor wrote. Contact James Miller. Hans Zimmer did not."), (41, "Blue Miller and Blue Harbour and Blue Lagoon and Blue Ridge and Blue Garcia"), (42, None), (43, "")]
+    df = table(spark, rows, "find_id long, text string")
+    names = spark.createDataFrame([("Anna",)], "given_name string")
+    assert pii.learned(df, ("anna",)) == ("james", "wei")
+    got = {(r.find_id, r.found) for r in pii.details(df, names).collect()}
+    assert {f for i, f in got if i == 40} == {"James Okafor", "James Miller"} and (21, "Wei T. de la Garcia") in got and not {f for i, f in got if i == 41}
+    assert pii.learned(df.limit(0), ("anna",)) == ()
+
+
 def test_surrogates_keep_distinctness_and_coreference(spark):
     names = spark.createDataFrame([(n,) for n in ("Viola", "Linnea", "Otis", "Tobin")], "given_name string")
     rows = [(i, f"Call 020 7946 {i:04d} or 020-7946-{i:04d}, Otis Lovby.") for i in range(300)] + [(900, "OTIS LOVBY wrote."), (901, None)]
@@ -429,9 +466,10 @@ def test_surrogates_are_put_into_the_texts(spark):
 
 # --- residue ------------------------------------------------------------------------------------
 RESIDUE = ["Hello {{user_name}}, the widget is ready", "Dear undefined, thanks for it", "Welcome to [insert old dock], where", "Copyright %%YEAR_NOW%%, keeper", "Lorem ipsum dolor sit amet, quisque",
+           "404 Not Found. The requested resource could not be located on this server.", "Error 500 - Internal Server Error", "Oops! That page doesn't exist.", "Dear [FIRST NAME], hi", "Hello {FIRST_NAME}, thanks", "{user_name} has left",
            "404\nNot Found\nnginx", "Page introuvable sur mill.example.", "Please enable\nJavaScript to see mill.test.", "noscript: content hidden", "Your subheading about the boat here"]
 CLEAN = ["The {{ mustache }} braces in the door are meant to stay.", "If this returns undefined again I will bury it.", "Finally threw out the lorem ipsum near the door.", "Whoever typed 'your name here' into it owes me coffee.",
-         "Our 404 page is drawn by hand.", "Works without JavaScript, the door insists on it.", "An error 500 once ate that map.", "Enable dark mode to see the door.", ":smile: [x] done"]
+         "Our 404 page is drawn by hand.", "Works without JavaScript, the door insists on it.", "An error 500 once ate that map.", "Enable dark mode to see the door.", ":smile: [x] done", "Thanks to [the] old crew of the page, it can be found again.", "The door could not be found [again]. Write to hello [at] mill.test", "A long list of tame, live, done, note, same, fine, more and lorem"]
 
 
 def test_residue_is_told_from_talk_about_it(spark):
