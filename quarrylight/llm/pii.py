@@ -260,10 +260,11 @@ def learned(df: DataFrame, listed: tuple[str, ...], text: str = "text") -> tuple
             for t in texts.filter(near).to_pylist():
                 for m in _CAPITALS.finditer(t):
                     g, f = m.group(1), m.group(2)
-                    if g[0].isupper() and f[0].isupper() and g[1:].islower() and f.lower() not in _THINGS and f.lower() not in known:
+                    if g[0].isupper() and f[0].isupper() and g[1:].islower():
                         found.add((g.lower(), f.lower()))
-            rows = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.string()), pa.array([g in known for g, _ in rows], pa.bool_())], names=["g", "f", "listed"])
+            # a family name is no ordinary word and no given name; such followers speak against the first word
+            rows = sorted((g, f, g in known) for g, f in found if g not in known or (f not in _THINGS and f not in known))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["g", "f", "listed"])
 
     every = cut(df.where(F.col(text).isNotNull()).select(F.col(text).cast("string")).mapInArrow(pairs, "g string, f string, listed boolean").distinct(), "name-pairs")
     family = every.where("listed").select("f").distinct().withColumn("known", F.lit(1))
