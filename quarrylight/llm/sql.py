@@ -50,6 +50,17 @@ c AS (SELECT a.find_id AS a, b.find_id AS b, count(*) AS shared FROM s a JOIN s
 SELECT a AS find_a, b AS find_b FROM c JOIN n x ON x.find_id = a JOIN n y ON y.find_id = b WHERE shared * 100 >= 60 * (x.n + y.n - shared)
 """
 
+P1_GROUPS = rf"""
+WITH RECURSIVE w AS (SELECT find_id, kind, {_WORDS} AS words FROM finds WHERE kind IS NOT NULL AND text IS NOT NULL),
+s AS MATERIALIZED (SELECT DISTINCT find_id, kind, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS g FROM w WHERE len(words) >= 5),
+n AS MATERIALIZED (SELECT find_id, count(*) AS n FROM s GROUP BY find_id),
+c AS MATERIALIZED (SELECT a.find_id AS a, b.find_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.kind = b.kind AND a.find_id < b.find_id GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.find_id = a JOIN n y ON y.find_id = b WHERE shared * 100 >= 80 * (x.n + y.n - shared)),
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT x.a AS find_id, x.class_id, y.links FROM (SELECT a, least(a, min(b)) AS class_id FROM r GROUP BY a) x JOIN (SELECT a, count(*) AS links FROM e GROUP BY a) y USING (a)
+"""
+
 P7_FOUND = rf"""
 WITH i AS (SELECT item_id, {_WORDS} AS words FROM eval_items),
 iw AS (SELECT item_id, least(12, len(words)) AS size, words, unnest(range(1, len(words) - least(12, len(words)) + 2)) AS k FROM i WHERE len(words) > 0),
@@ -61,4 +72,4 @@ dg AS (SELECT doc_id, size, array_to_string(words[k:k + size - 1], ' ') AS g FRO
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (size, g)
 """
 
-SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p7_found": P7_FOUND, "p9_found": P9_FOUND}
+SQL = {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p7_found": P7_FOUND, "p9_found": P9_FOUND}
