@@ -59,6 +59,12 @@ _FILE = f"({_WITHOUT} || {_pick(('/db.sql', '/users_export.csv', '/sitemap.xml',
 _FPATH = rf"lower(regexp_extract(u, '^[a-z]+://[^/]*(.*)$', 1))"
 _FNAME = f"list_last(string_split({_FPATH}, '/'))"
 
+_LACKING = "[" + ",".join(f'"{h}"' for h in rules.SECURITY_HEADERS if h.lower() != "x-frame-options") + "]"
+_SOURCE_SITE = _SITE.replace("(url,", "(coalesce(source, url),")
+_RESOURCES = f"""{_O}, r AS (SELECT kind, offer_id % 31 = 0 AS failed, {_STATUS.format('offer_id')} AS status, {_SITE} AS host, {_SOURCE_SITE} AS netloc, lower({_PATH}) AS path FROM o WHERE kind <> 'page'),
+c AS (SELECT *, NOT failed AND status < 400 AS fine, list_last(string_split(path, '/')) AS name,
+  CASE WHEN failed THEN 'broken_resource' WHEN status IN (429, 503) THEN 'rate_limited' WHEN status IN (401, 403) AND host <> '' AND host <> netloc THEN 'unverified_resource' WHEN status >= 400 THEN 'broken_resource' END AS category FROM r)"""
+
 # --- crawls: offers as a tree of pages, a level a wave -------------------------------------------
 _LEVELS = 17  # three to the 17th is more than the offers of any table here
 _HOST = rf"regexp_replace({_SITE}, ':\d*$', '')"
@@ -134,7 +140,7 @@ SQL = SQL_CRAWLS | {
     "sensitive_files": f"WITH {_O}, x AS (SELECT offer_id, {_FILE} AS u FROM o), y AS (SELECT offer_id, {_FPATH} AS p, {_FNAME} AS n FROM x) SELECT offer_id, CASE WHEN {_ends_any('p', rules.HIGH_SENSITIVE_EXTENSIONS)} THEN 'high' WHEN {_ends_any('p', rules.CONTEXT_SENSITIVE_EXTENSIONS)} AND regexp_replace(n, '\\.[^.]*$', '') NOT IN ({_in(rules.BENIGN_STEMS)}) AND {_like_any('n', rules.DUMPY_HINTS)} THEN 'context' END AS verdict, {_ends_any('p', rules.LEGACY_EXTENSIONS)} AS legacy, {_ends_any('p', rules.FLAGGED_EXTENSIONS)} AS flagged FROM y",
     "risky_params": f"WITH {_O} SELECT r AS reason, count(*) AS n FROM (SELECT {_pick(('next= points at a URL (https://e.test/x) - open-redirect/SSRF candidate', 'f= contains path traversal (../../etc)', 'p= looks like a filesystem path (/etc/passwd)', 'debug=1 - debug/admin toggle enabled', '', 'ref= carries a URL (//k.test) - possible SSRF/redirect'), 6)} AS r FROM o) WHERE r <> '' GROUP BY r",
     "bot_hostile": f"WITH {_O}, h AS (SELECT CASE WHEN offer_id % 5 = 0 THEN {_pick(('www.facebook.com', 'm.x.com', 'netflix.com', 'a.linkedin.com'), 4)} ELSE {_NETLOC} END AS host FROM o) SELECT host, count(*) AS n, host IN ('www.facebook.com', 'm.x.com', 'a.linkedin.com') AS hostile FROM h GROUP BY host",
-    "hosts_below_domains": f"WITH {_O}, h AS (SELECT offer_id, {_SITE} AS h FROM o) SELECT offer_id FROM h WHERE EXISTS (SELECT 1 FROM site_stats s WHERE s.netloc LIKE '%.example' AND (h.h = s.netloc OR ends_with(h.h, '.' || s.netloc)))",
+    "hosts_below_domains": f"WITH {_O}, h AS (SELECT offer_id, {_SITE} AS h FROM o) SELECT offer_id FROM h WHERE EXISTS (SELECT 1 FROM site_stats s WHERE (h.h = s.netloc OR ends_with(h.h, '.' || s.netloc)))",
     "frontier_state_counts": "SELECT CAST(s AS INT) AS state, count(offer_id) AS n FROM range(3) r(s) LEFT JOIN (SELECT DISTINCT offer_id, state FROM frontier) f ON f.state = s GROUP BY s",
     "frontier_pending": "SELECT count(*) FILTER (state = 0) AS pending, count(*) FILTER (state = 1) AS active FROM (SELECT DISTINCT offer_id, state FROM frontier)",
     "frontier_dedupe": f"WITH k AS (SELECT {_KEY} AS key, offer_id, kind, depth FROM frontier) SELECT key, offer_id, kind, depth FROM k WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY offer_id) = 1",
@@ -142,7 +148,7 @@ SQL = SQL_CRAWLS | {
     "frontier_unseen": f"WITH {_O}, c AS (SELECT offer_id, state, {_CANON} AS page FROM o) SELECT offer_id, page FROM c WHERE state = 0 AND page NOT IN (SELECT page FROM c WHERE state = 2)",
     "frontier_page_cap": f"WITH {_O}, c AS (SELECT offer_id, {_NETLOC} AS host FROM o WHERE kind = 'page') SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY host ORDER BY offer_id) <= 25",
     "frontier_first_depth": f"WITH {_O}, c AS (SELECT {_CANON} AS page, offer_id, depth, source FROM o) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page ORDER BY offer_id, depth, source) = 1",
-    "frontier_bfs": "WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_orderkey < 400 UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_orderkey < 400), t AS (SELECT 's1' AS node, 0 AS depth UNION SELECT e.dst, t.depth + 1 FROM t JOIN e ON e.src = t.node WHERE t.depth < 3) SELECT node, min(depth) AS depth FROM t GROUP BY node",
+    "frontier_bfs": "WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem), t AS (SELECT 's1' AS node, 0 AS depth UNION SELECT e.dst, t.depth + 1 FROM t JOIN e ON e.src = t.node WHERE t.depth < 3) SELECT node, min(depth) AS depth FROM t GROUP BY node",
     "probe_matrix": f"WITH {_O}, r AS (SELECT DISTINCT {_SCHEME} || '://' || lower({_NETLOC}) AS source FROM o) SELECT source || p AS url, source FROM r, (SELECT unnest([{_in(rules.COMMON_PROBE_PATHS)}]) AS p)",
     "finding_distinct": "SELECT DISTINCT netloc, category, url, detail, found_on, kind FROM findings",
     "finding_counts": "SELECT netloc, category, count(*) AS n FROM (SELECT DISTINCT netloc, category, url, detail, found_on, kind FROM findings) GROUP BY netloc, category",
@@ -173,5 +179,19 @@ SQL = SQL_CRAWLS | {
     "retry_backoff": f"WITH {_O}, r AS (SELECT DISTINCT CAST(offer_id % 12 AS INT) AS n FROM o) SELECT n, least(pow(2.0, n), 8.0) AS transient, least(greatest(2.0 * pow(2.0, n), CASE WHEN n % 3 = 0 THEN 30.0 ELSE 0.0 END), 60.0) AS cooldown FROM r",
     "page_links": f"WITH {_O}, p AS (SELECT DISTINCT url, offer_id FROM o WHERE kind = 'page' AND offer_id % 31 <> 0 AND offer_id % 10 > 4), l AS (SELECT DISTINCT url, offer_id, {_SCHEME} || '://' || {_NETLOC} AS root FROM p), t AS (SELECT DISTINCT url, root || '/n/' || (offer_id % 50) AS target, 'page' AS kind FROM l UNION SELECT DISTINCT url, 'https://k.test/', 'page' FROM l UNION ALL SELECT url, root || '/s.css', 'stylesheet' FROM l UNION ALL SELECT url, 'http://i.test/' || (offer_id % 20) || '.png', 'image' FROM l) SELECT target, kind, count(*) AS n FROM t GROUP BY target, kind",
     "page_paragraphs": f"WITH {_O} SELECT DISTINCT 'page number ' || offer_id || ' of the site' AS paragraph FROM o WHERE kind = 'page'",
+    "report_rows": f"""WITH {_CLEAN}, r AS (SELECT netloc, CASE WHEN category IN ('broken_resource', 'unverified_resource') THEN {_DISPLAY.format('category', 'NULL')} || ' (' || coalesce(kind, '') || ')' ELSE {_DISPLAY.format('category', 'category')} END AS category,
+  CASE WHEN category IN ('secret', 'secret_info') THEN coalesce(kind, '') || ': ' || coalesce(detail, '') ELSE coalesce(detail, '') END AS detail, coalesce(url, '') AS url, CASE WHEN category IN ('secret', 'secret_info', 'scan_caveat') THEN '' ELSE coalesce(found_on, '') END AS found_on FROM f
+  UNION ALL SELECT netloc, 'Missing Security Header', unnest(regexp_extract_all(missing_headers, '"([^"]*)"', 1)), coalesce(header_checked_url, ''), '' FROM site_stats WHERE json_valid(missing_headers))
+SELECT netloc, category, {_SEVERITY} AS severity, detail, url, found_on FROM r""",
+    "resource_status_class": f"WITH {_RESOURCES} SELECT category, kind, count(*) AS n FROM c WHERE category IS NOT NULL GROUP BY ALL",
+    "resource_check_findings": f"""WITH {_RESOURCES}, g AS (SELECT netloc, category FROM c WHERE category IS NOT NULL
+  UNION ALL SELECT netloc, 'legacy_file' FROM c WHERE fine AND {_ends_any('path', rules.LEGACY_EXTENSIONS)}
+  UNION ALL SELECT netloc, 'sensitive_file' FROM c WHERE fine AND ({_ends_any('path', rules.HIGH_SENSITIVE_EXTENSIONS)} OR ({_ends_any('path', rules.CONTEXT_SENSITIVE_EXTENSIONS)} AND regexp_replace(name, '\\.[^.]*$', '') NOT IN ({_in(rules.BENIGN_STEMS)}) AND {_like_any('name', rules.DUMPY_HINTS)})))
+SELECT netloc, category, count(*) AS n FROM g GROUP BY ALL""",
+    "security_header_stats": f"WITH {_O} SELECT {_SITE} AS netloc, min(url) AS header_checked_url, '{_LACKING}' AS missing_headers FROM o WHERE kind = 'page' AND depth = 0 AND offer_id % 31 <> 0 AND {_STATUS.format('offer_id')} < 400 GROUP BY 1",
+    "robots_longest_match": f"WITH {_O}, p AS (SELECT offer_id, {_SLASH} || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END AS p FROM o) SELECT offer_id, CASE WHEN ends_with(p, '.php') THEN false WHEN contains(p, '-a') THEN true ELSE NOT contains(p, 'a') END AS allowed FROM p",
+    "find_dedupe_key": rf"WITH k AS (SELECT find_id, kind || chr(0) || CASE WHEN kind = 'humans_txt' THEN lower(domain) ELSE substr(lower({_COLLAPSE.format('text')}), 1, 300) END AS key FROM finds WHERE text IS NOT NULL AND kind IS NOT NULL) SELECT min(find_id) AS find_id, sha1(key) AS key FROM k GROUP BY k.key",
+    "body_signatures": rf"""WITH u AS (SELECT doc_id, lower(text) AS t, lower({_PATH}) AS p FROM documents WHERE text IS NOT NULL AND url IS NOT NULL), a AS (SELECT doc_id, CASE WHEN length(p) >= 3 THEN replace(t, p, '') ELSE t END AS t, list_last(string_split(p, '/')) AS l FROM u),
+b AS (SELECT doc_id, CASE WHEN length(l) >= 3 THEN replace(t, l, '') ELSE t END AS t FROM a) SELECT sha1(substr({_COLLAPSE.format('t')}, 1, 20000)) AS signature, count(*) AS n, min(doc_id) AS first_doc FROM b GROUP BY 1""",
     "run_totals": f"WITH f AS (SELECT {_NET} AS netloc, count(*) AS n FROM findings WHERE netloc IS NOT NULL GROUP BY 1), s AS (SELECT {_NET} AS netloc, pages_crawled, robots_blocked FROM site_stats) SELECT count(*) AS sites, CAST(sum(coalesce(pages_crawled, 0)) AS BIGINT) AS pages, CAST(sum(coalesce(robots_blocked, 0)) AS BIGINT) AS blocked, CAST(sum(coalesce(n, 0)) AS BIGINT) AS findings FROM s FULL JOIN f USING (netloc)",
 }
