@@ -28,7 +28,7 @@ _WITH_AUTHORITY = ("http", "https", "ftp", "file", "sftp", "ws", "wss", "rtsp",
 
 def tidy(url: Column) -> Column:
     """``url`` without tabs and line ends, and without control characters or blanks before it."""
-    return F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
 
 
 def scheme(url: Column) -> Column:
@@ -154,12 +154,15 @@ def path_prefix(url: Column, depth: int = 1) -> Column:
 def resolve(base: Column, href: Column) -> Column:
     """Absolute http(s) address of ``href`` on the page ``base``, without fragment; NULL for any other.
 
-    Absolute references are settled in the JVM; relative ones (dots, queries alone) by the standard
-    library's rules in an Arrow function.
+    Absolute references, and those from the root of a host without dot segments, are settled in
+    the JVM; others (dots, queries alone, paths from the page's folder) by the standard library's
+    rules in an Arrow function.
     """
     ready = F.regexp_replace(href, "#.*$", "")
     plain = href.rlike(r"^https?://[^/?#\s]+/?[^\s.]*$")
-    joined = F.when(plain, ready).otherwise(_joined()(base, F.when(~plain, href)))
+    rooted = href.rlike(r"^/(?!/)[^\s;?#]*(?:\?[^\s#;]+)?(?:#[^\s]*)?$") & ~href.rlike(r"^[^?#]*/\.{1,2}(?:/|[?#]|$)") & base.rlike(r"^https?://[^/?#\s\[\]]+")
+    relative = F.coalesce(~plain & ~rooted, F.lit(True))
+    joined = F.when(plain, ready).when(rooted, F.concat(F.regexp_extract(base, r"^https?://[^/?#\s]+", 0), ready)).otherwise(_joined()(base, F.when(relative, href)))
     return F.when(joined.rlike("^https?://"), joined)
 
 

@@ -221,11 +221,12 @@ class Crawl:
         return c.groupBy(F.col("site").alias("netloc")).agg(count("prefix").alias("pattern_skipped"), count("query").alias("query_skipped"))
 
     def pending(self) -> DataFrame:
-        """Addresses that wait, in their order: what a later run begins with."""
+        """Addresses that wait, in their order: what a later run begins with. Resources wait only where there is a check for them."""
         done = self.held().select("url")
         for t in (self.responses(), self.checks()):
             done = done if t is None else done.unionByName(t.select("url"))
-        return R.unseen(self.frontier(), done, ["url"]).orderBy(*ORDER)
+        rows = self.frontier()
+        return R.unseen(rows if self.check is not None else rows.where("kind = 'page'"), done, ["url"]).orderBy(*ORDER)
 
     # --- one wave -------------------------------------------------------------------------------
     def _write(self, df: DataFrame, what: str, n: int) -> DataFrame:

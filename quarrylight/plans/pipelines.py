@@ -43,7 +43,7 @@ def page_findings(pages: DataFrame, profiles: DataFrame | None = None) -> DataFr
     real = ok.where("soft IS NULL")
     content = real.where(responses.is_html(F.col("content_type")) | responses.is_script(F.col("content_type"), url))
     markup = real.where(responses.is_html(F.col("content_type")))
-    parsed = html.elements(markup, "url", "body")
+    parsed = cut(html.elements(markup, "url", "body").where("tag <> 'p'"), "elements")  # parsed once for three detectors; no paragraph, no body
     cookies = real.select("netloc", "url", F.explode("cookies").alias("c"))
     cookies = _finding(cookies, "cookie_flag", F.col("url"), responses.cookie_flags(F.col("c.name"), F.col("c.secure"), F.col("c.httponly"), F.col("c.samesite")), F.col("url"), F.col("c.name"), F.col("netloc"))
     home = real.where("depth = 0")
@@ -143,19 +143,20 @@ def fetched_rules(fetch, style: str = "wildcard"):
 
 
 def crawl(spark: SparkSession, seeds: list[str], pages: DataFrame | None = None, limits: Limits = Limits(), path: str | None = None, rules_table: DataFrame | None = None, options: dict | None = None, fresh: bool = False,
-          robots_txt: str | None = None, check: bool = False, probes: tuple[str, ...] = (), roam: bool = False) -> Crawl:
+          robots_txt: str | None = None, check: bool = False, probes: tuple[str, ...] = (), roam: bool = False, begin_only: bool = False) -> Crawl:
     """A crawl of recorded pages, or of the network where none are given.
 
     Pages are held back by ``rules_table``, or by the robots.txt of their root where ``robots_txt``
     names a style. ``check`` asks for the status of resources and of ``probes``. ``roam`` follows
-    every anchor, whatever its site.
+    every anchor, whatever its site. ``begin_only`` leaves the waves to the caller.
     """
     fetch = http.recorded(pages) if pages is not None else http.fetch_wave(options)
     status = http.recorded(pages, http.STATUS) if pages is not None else http.check_wave(options)
     gate = known_rules(rules_table) if rules_table is not None else fetched_rules(fetch, robots_txt) if robots_txt else None
     scope = spark.createDataFrame([(s,) for s in seeds], "s string").select(urls.site_key(urls.with_scheme(F.col("s"))).alias("site"))
     expand = expand_links() if roam else expand_links(scope, limits.allow_external)
-    return Crawl(spark, seeds, fetch, expand, limits, path, fresh, gate, status if check else None, probes).run()
+    c = Crawl(spark, seeds, fetch, expand, limits, path, fresh, gate, status if check else None, probes)
+    return c if begin_only else c.run()
 
 
 def roaming(max_pages: int = 500, max_per_host: int = 25, home_first: bool = False) -> Limits:
@@ -178,16 +179,27 @@ def audit_stats(c: Crawl) -> DataFrame:
     return site_stats(answers, c.held().where("why = 'robots'"), c.skips())
 
 
-def whole_audit(spark: SparkSession, seeds: list[str], pages: DataFrame | None = None, limits: Limits = Limits(max_rows=5000), path: str | None = None, options: dict | None = None, fresh: bool = False,
-                robots_txt: str | None = "standard", soft404: bool = True, probe: bool = False, token: str = "quarrylight") -> tuple[Crawl, DataFrame, DataFrame]:
-    """(crawl, findings, statistics): pages, resources, probes, not-found pages in disguise, headers and robots in one go."""
-    fetch = http.recorded(pages) if pages is not None else http.fetch_wave(options)
-    c = crawl(spark, seeds, pages, limits, path, None, options, fresh, robots_txt, True, rules.COMMON_PROBE_PATHS if probe else ())
+def audit_crawl(spark: SparkSession, seeds: list[str], pages: DataFrame | None = None, limits: Limits = Limits(max_rows=5000), path: str | None = None, options: dict | None = None, fresh: bool = False,
+                robots_txt: str | None = "standard", probe: bool = False) -> Crawl:
+    """The crawl of an audit before its first wave: robots, checks of resources, and probes if wanted."""
+    return crawl(spark, seeds, pages, limits, path, None, options, fresh, robots_txt, True, rules.COMMON_PROBE_PATHS if probe else (), begin_only=True)
+
+
+def audit_tables(c: Crawl, fetch, soft404: bool = True, token: str = "quarrylight") -> tuple[DataFrame, DataFrame]:
+    """(findings, statistics) of a crawl as far as it has come."""
     profiles = None
     if soft404 and c.responses() is not None:
         roots = c.responses().select(F.concat(urls.scheme(F.col("url")), F.lit("://"), F.lower(urls.netloc(F.col("url")))).alias("root")).distinct()
         profiles = cut(soft404_profiles(roots, fetch, token), "profiles")  # fetched once
-    return c, deep_audit(c, profiles), audit_stats(c)
+    return deep_audit(c, profiles), audit_stats(c)
+
+
+def whole_audit(spark: SparkSession, seeds: list[str], pages: DataFrame | None = None, limits: Limits = Limits(max_rows=5000), path: str | None = None, options: dict | None = None, fresh: bool = False,
+                robots_txt: str | None = "standard", soft404: bool = True, probe: bool = False, token: str = "quarrylight") -> tuple[Crawl, DataFrame, DataFrame]:
+    """(crawl, findings, statistics): pages, resources, probes, not-found pages in disguise, headers and robots in one go."""
+    fetch = http.recorded(pages) if pages is not None else http.fetch_wave(options)
+    c = audit_crawl(spark, seeds, pages, limits, path, options, fresh, robots_txt, probe).run()
+    return c, *audit_tables(c, fetch, soft404, token)
 
 
 def quick_scan(answers: DataFrame, links: DataFrame) -> DataFrame:

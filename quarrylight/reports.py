@@ -114,22 +114,40 @@ def embedded_json(payload: dict) -> str:
     return json.dumps(payload).replace("</", "<\\/")
 
 
-_PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>{title}</title><style>body{{font:14px sans-serif}}td,th{{padding:4px 8px;text-align:left}}.critical{{color:#b00}}.warning{{color:#a60}}</style></head>
-<body><h1>{title}</h1><input id="q" placeholder="search"><table><thead><tr><th>category</th><th>detail</th><th>url</th><th>found_on</th></tr></thead><tbody id="b"></tbody></table>
-<script type="application/json" id="d">{data}</script>
-<script>const d=JSON.parse(document.getElementById("d").textContent),b=document.getElementById("b"),q=document.getElementById("q");let key="category",dir=1;
+_HEAD = """<!doctype html><html><head><meta charset="utf-8"><title>{title}</title><style>body{{font:14px sans-serif}}td,th{{padding:4px 8px;text-align:left}}.critical{{color:#b00}}.warning{{color:#a60}}.chip{{margin:2px;padding:2px 8px}}.on{{font-weight:bold}}</style></head>
+<body><h1>{title}</h1><p>{lines}</p><p id="chips"></p><input id="q" placeholder="search"> <button id="copy">copy visible rows</button> <span id="n"></span>
+<table><thead><tr><th>category</th><th>detail</th><th>url</th><th>found_on</th></tr></thead><tbody id="b"></tbody></table>
+<script type="application/json" id="d">"""
+_TAIL = """</script>
+<script>const rows=JSON.parse(document.getElementById("d").textContent).rows,at=i=>document.getElementById(i),cells=["category","detail","url","found_on"],chosen=new Set();let key="",dir=1;
 const num=v=>v.trim()!==""&&!isNaN(v);
-function draw(){{const s=q.value.trim().toLowerCase();b.textContent="";d.rows.filter(r=>!s||[r.category,r.detail,r.url,r.found_on].join(" ").toLowerCase().includes(s))
-.sort((x,y)=>dir*(num(x[key])&&num(y[key])?x[key]-y[key]:num(x[key])?-1:num(y[key])?1:x[key].toLowerCase().localeCompare(y[key].toLowerCase())))
-.forEach(r=>{{const t=document.createElement("tr");t.className=r.severity;["category","detail","url","found_on"].forEach(k=>{{const c=document.createElement("td");c.textContent=r[k];t.append(c)}});b.append(t)}})}}
-q.oninput=draw;document.querySelectorAll("th").forEach(h=>h.onclick=()=>{{dir=key===h.textContent?-dir:1;key=h.textContent;draw()}});draw();</script></body></html>"""
+const visible=()=>{const s=at("q").value.trim().toLowerCase();const kept=rows.filter(r=>(!chosen.size||chosen.has(r.category))&&(!s||cells.map(c=>r[c]).join(" ").toLowerCase().includes(s)));
+return key?kept.sort((x,y)=>dir*(num(x[key])&&num(y[key])?x[key]-y[key]:num(x[key])?-1:num(y[key])?1:x[key].toLowerCase().localeCompare(y[key].toLowerCase()))):kept};
+const draw=()=>{const shown=visible();at("b").textContent="";at("n").textContent=shown.length+" of "+rows.length;shown.forEach(r=>{const t=document.createElement("tr");t.className=r.severity;cells.forEach(k=>{const c=document.createElement("td");c.textContent=r[k];t.append(c)});at("b").append(t)})};
+const counts=new Map();rows.forEach(r=>counts.set(r.category,(counts.get(r.category)||0)+1));
+[...counts].sort((x,y)=>y[1]-x[1]).forEach(([c,n])=>{const b=document.createElement("button");b.className="chip";b.textContent=c+" ("+n+")";b.onclick=()=>{chosen.has(c)?chosen.delete(c):chosen.add(c);b.classList.toggle("on");draw()};at("chips").append(b)});
+at("copy").onclick=()=>navigator.clipboard.writeText([cells.join("\\t"),...visible().map(r=>cells.map(k=>r[k].replace(/[\\t\\n]/g," ")).join("\\t"))].join("\\n"));
+at("q").oninput=draw;document.querySelectorAll("th").forEach(h=>h.onclick=()=>{dir=key===h.textContent?-dir:1;key=h.textContent;draw()});draw();</script></body></html>"""
 
 
-def html_report(rows: DataFrame, meta: dict, order: list[str] | None = None) -> str:
-    """One self-contained page with the report rows of a site."""
+def html_parts(rows: DataFrame, meta: dict, order: list[str] | None = None) -> Iterator[str]:
+    """One self-contained page with the report rows of a site, row by row: chips of categories with their counts to choose several by, search, sorting, and copying of what is visible.
+
+    Rows are rendered where they lie and streamed; neither the rows nor the page are held whole.
+    """
     ordered = rows.orderBy(*(order or ["position", "url", "detail"])).select("category", "severity", "detail", "url", "found_on")
-    payload = {"meta": meta, "rows": [r.asDict() for r in ordered.toLocalIterator()]}
-    return _PAGE.format(title=html.escape(meta.get("title", "report"), quote=False), data=embedded_json(payload))
+    lines = "<br>".join(html.escape(str(x), quote=False) for x in meta.get("lines", ()))
+    yield _HEAD.format(title=html.escape(meta.get("title", "report"), quote=False), lines=lines)
+    yield '{"meta": ' + embedded_json(meta) + ', "rows": ['
+    made = F.replace(F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ordered.columns))), F.lit("</"), F.lit("<\\/"))
+    for k, r in enumerate(ordered.select(made.alias("j")).toLocalIterator()):
+        yield (",\n" if k else "") + r.j
+    yield "]}" + _TAIL
+
+
+def html_report(rows: DataFrame, meta: dict, order: list[str] | None = None) -> str:
+    """The page of ``html_parts`` as one text, for reports that are small."""
+    return "".join(html_parts(rows, meta, order))
 
 
 # --- gallery ------------------------------------------------------------------------------------

@@ -230,6 +230,23 @@ def check_wave(options: dict | None = None) -> Callable[[DataFrame], DataFrame]:
     return check
 
 
+def binary_wave(options: dict | None = None) -> Callable[[DataFrame], DataFrame]:
+    """The bytes of each address, by host, as ``http_binary`` has them."""
+    settings = dict(options or {})
+
+    def fetch(wave: DataFrame) -> DataFrame:
+        def run(frames):
+            import pandas as pd
+
+            reader, fetcher = _BinaryReader(settings), Fetcher(settings)
+            for f in frames:
+                yield pd.DataFrame([reader.row(fetcher, u) for u in f["url"]], columns=[c.split()[0] for c in BINARY.split(", ")])
+
+        return wave.select("url").distinct().repartition(F.regexp_extract("url", "//([^/]*)", 1)).mapInPandas(run, BINARY)
+
+    return fetch
+
+
 def recorded(pages: DataFrame, schema: str = RESPONSE) -> Callable[[DataFrame], DataFrame]:
     """A crawl's ``fetch`` (or, with the schema ``STATUS``, its ``check``) from a table of recorded responses; an address that isn't there answers 404."""
     have = {c: t for c, t in pages.dtypes}

@@ -105,6 +105,7 @@ def test_report_rows_sort_and_search(spark):
     assert "Not checked" in "".join(reports.text_report(found, stats, "c.test", datetime(2025, 1, 1)))
     page = reports.html_report(reports.report_rows(found, stats), {"title": "a <b>"})
     assert "</script>\"" not in page.split('id="d">')[1].split("</script>")[0] and "a &lt;b&gt;" in page
+    assert 'id="copy"' in page and "chips" in page
     assert json.loads(page.split('id="d">')[1].split("</script>")[0])["rows"][0]["category"] == "Broken Link"
     assert {r.netloc: r.findings for r in R.stats_and_findings(stats, found).collect()} == {"a.test": 5, "b.test": 0, "c.test": 0}
 
@@ -407,3 +408,23 @@ def test_graph_and_domain_queries_read_whole_tables(spark, tmp_path):
     spark.createDataFrame(offers, "offer_id long, kind string, url string, source string, depth int, state int").write.parquet(f"{tmp_path}/frontier.parquet")
     spark.createDataFrame([("a.example",), ("b.test",), ("c.invalid",)], "netloc string").write.parquet(f"{tmp_path}/site_stats.parquet")
     assert sorted(r.offer_id for r in queries.QUERIES["hosts_below_domains"](spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
+
+
+def test_the_six_tools(spark, tmp_path):
+    from quarrylight import cli
+
+    png = "\x89PNG"  # bytes are recorded as text here: no image large enough
+    rows = [("https://a.test/", '<a href="/b">b</a><a href="/gone">g</a><a href="/list.pdf">l</a><img src="/x.png"><p>five words stand in here</p><!-- sorry, this is a hack! --> me@a.test', "text/html"),
+            ("https://a.test/b", "<p>six other words stand in here</p>", "text/html"), ("https://a.test/list.pdf", "", "application/pdf"), ("https://a.test/x.png", png, "image/png")]
+    spark.createDataFrame(rows, "url string, body string, content_type string").write.parquet(f"{tmp_path}/pages")
+    run = lambda tool, *more: cli.main([tool, "a.test", "--pages", f"{tmp_path}/pages", "--output-dir", f"{tmp_path}/{tool}", *more], spark)
+    got = run("quick")
+    assert (got["pages_crawled"], got["broken"], got["flagged"]) == (4, 1, 1)
+    assert "https://a.test/gone" in (tmp_path / "quick" / "quick_scan_report.txt").read_text() and '"category":"Broken"' in (tmp_path / "quick" / "quick_scan_report.html").read_text()
+    got = run("audit", "--no-soft-404", "--max-depth", "1")
+    assert got["reports"] == 1 and "[404] https://a.test/gone" in (tmp_path / "audit" / "a.test.txt").read_text()
+    assert run("emails")["unique_emails"] == 1 and "me@a.test" in (tmp_path / "emails" / "email_audit_report.txt").read_text()
+    assert run("images", "--min-width", "0", "--min-height", "0")["images_downloaded"] == 1 and (tmp_path / "images" / "images" / "a.test" / "x.png").exists()
+    got = run("corpus", "--ignore-robots", "--max-pages", "1")
+    assert (got["pages_fetched"], got["new_paragraphs"], got["waiting"]) == (1, 1, 3)
+    assert run("hunt")["finds"] == 1 and "this is a hack" in (tmp_path / "hunt" / "gallery.html").read_text()
