@@ -136,9 +136,10 @@ def links(parsed: DataFrame, scope: DataFrame | None = None, allow_external: boo
         inside = F.coalesce("_in", F.lit(allow_external))
         found = found.select("url", "target", F.when(F.col("kind").isin("page", "script") & inside, "page").when(F.col("kind") == "page", "external link").otherwise(F.col("kind")).alias("kind"), "ord")
     # one pass for both kinds (two branches would parse every page twice): a resource keeps its places
-    places = F.when(F.col("kind") == "page", F.array(F.min("ord"))).otherwise(F.array_sort(F.collect_list("ord")))
     own = F.when(F.col("kind") != "page", F.col("ord"))
-    return found.groupBy("url", "target", "kind", own.alias("_own")).agg(places.alias("_places")).select("url", "target", "kind", F.explode("_places").alias("ord"))
+    met = found.groupBy("url", "target", "kind", own.alias("_own")).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).cast("int").alias("_n"))
+    times = F.when(F.col("kind") == "page", F.lit(1)).otherwise(F.col("_n"))  # rows of one address that is several pages
+    return met.select("url", "target", "kind", F.explode(F.array_repeat("ord", times)).alias("ord"))
 
 
 def srcset_urls(parsed: DataFrame) -> DataFrame:

@@ -81,6 +81,11 @@ def classify_comment(raw: Column) -> Column:
         let(strip(raw), lambda text: let(collapse(text), lambda flat: let(F.lower(flat), lambda low: kept(text, flat, low)))))
 
 
+def kept_comment(raw: Column) -> Column:
+    """Columns kind, score and tags of the comments worth keeping, as a generator: judged once, where a test of the struct for NULL would judge again."""
+    return F.inline(F.array_compact(F.array(classify_comment(raw))))
+
+
 def find_key(kind: Column, text: Column, domain: Column) -> Column:
     """Identity of a find: kind and the first 300 characters of its text, or the domain for humans.txt."""
     return F.concat(kind, F.lit("\x00"), F.when(kind == "humans_txt", domain).otherwise(F.substring(F.lower(collapse(text)), 1, 300)))

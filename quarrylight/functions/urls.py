@@ -159,7 +159,7 @@ def resolve(base: Column, href: Column) -> Column:
     rules in an Arrow function.
     """
     ready = F.regexp_replace(href, "#.*$", "")
-    plain = href.rlike(r"^https?://[^/?#\s]+/?[^\s.]*$")
+    plain = href.rlike(r"^https?://[^/?#\s\[\]]+(?:/[^\s?#;]*)?(?:\?[^\s#;]+)?(?:#\S*)?$")
     rooted = href.rlike(r"^/(?!/)[^\s;?#]*(?:\?[^\s#;]+)?(?:#[^\s]*)?$") & ~href.rlike(r"^[^?#]*/\.{1,2}(?:/|[?#]|$)") & base.rlike(r"^https?://[^/?#\s\[\]]+")
     relative = F.coalesce(~plain & ~rooted, F.lit(True))
     joined = F.when(plain, ready).when(rooted, F.concat(F.regexp_extract(base, r"^https?://[^/?#\s]+", 0), ready)).otherwise(_joined()(base, F.when(relative, href)))

@@ -254,14 +254,14 @@ def hunt(answers: DataFrame, ts: str, max_per_domain: int = 25, fetch=None) -> D
     """
     pages = answers.where("error IS NULL AND status < 400")
     markup = pages.where(responses.is_html(F.col("content_type")))
-    comment = markup.select("url", F.explode(T.html_comments(F.col("body"))).alias("raw")).withColumn("c", T.classify_comment(F.col("raw"))).where("c IS NOT NULL")
+    comment = markup.select("url", F.explode(T.html_comments(F.col("body"))).alias("raw")).select("url", "raw", T.kept_comment(F.col("raw")))
     make = lambda df, kind, text, score, tags: df.select(kind.alias("kind"), text.alias("text"), "url", urls.site_key(F.col("url")).alias("domain"), score.cast("int").alias("score"), tags.alias("tags"), F.lit(ts).alias("ts"))
     fixed = lambda x: F.array(F.lit(x))
     eggs = html.console_eggs(html.elements(markup, "url", "body"))
     headers = pages.select("url", F.explode(responses.header_eggs(F.col("headers"))).alias("egg"))
     files = humans_files(markup, fetch).where("error IS NULL") if fetch is not None else pages
     humans = files.where(urls.path(F.col("url")) == "/humans.txt").select("url", responses.humans_txt(F.col("status"), F.col("content_type"), F.col("body")).alias("t")).where("t IS NOT NULL")
-    rows = R.union_all([make(comment, F.col("c.kind"), F.when(F.col("c.kind") == "ascii_art", F.regexp_replace("raw", r"^\n+|\n+$", "")).otherwise(T.collapse(F.col("raw"))), F.col("c.score"), F.col("c.tags")),
+    rows = R.union_all([make(comment, F.col("kind"), F.when(F.col("kind") == "ascii_art", F.regexp_replace("raw", r"^\n+|\n+$", "")).otherwise(T.collapse(F.col("raw"))), F.col("score"), F.col("tags")),
                         make(eggs, F.lit("console"), F.col("message"), F.lit(5), fixed("console")), make(headers, F.lit("header"), F.col("egg"), F.lit(5), fixed("header")),
                         make(humans, F.lit("humans_txt"), F.col("t"), F.lit(4), fixed("credits"))])
     rows = R.first_per_key(rows.withColumn("_key", T.find_key(F.col("kind"), F.col("text"), F.col("domain"))), ["_key"], ["url"])

@@ -15,7 +15,7 @@ from quarrylight.functions import text as T
 from quarrylight.operators import frontier, hot_keys
 from quarrylight.operators import relational as R
 from quarrylight.plans import pipelines
-from quarrylight.storage import cut, table
+from quarrylight.storage import cut, spread, table
 
 QUERIES: dict = {}
 
@@ -389,8 +389,8 @@ def find_tags(spark, d):
 
 @query
 def comment_score(spark, d):
-    rows = table(spark, d, "finds").where("kind = 'html_comment' AND text IS NOT NULL").select("find_id", T.classify_comment(F.col("text")).alias("c"))
-    return rows.where("c IS NOT NULL").select("find_id", "c.kind", "c.score", "c.tags")
+    rows = spread(table(spark, d, "finds").where("kind = 'html_comment' AND text IS NOT NULL").select("find_id", "text")).select("find_id", T.kept_comment(F.col("text")))
+    return rows.select("find_id", "kind", "score", "tags")
 
 
 @query
