@@ -42,6 +42,9 @@ _REASON = (r"(?:(?:page )?not found|forbidden|gone|bad gateway|bad request|unaut
 _SERVER = r"(?:nginx|openresty|httpd|apache|iis|caddy|lighttpd|cloudflare|varnish|tomcat)"
 _FRAME = r"(?<=\b(?:hello|dear|welcome to|copyright|open since|by|for|from|thanks to) )"
 
+#: A bracket that opens with a function word is an aside, no slot.
+_NO_FUNCTION_WORD = r"(?!(?:" + "|".join(sorted(FUNCTION_WORDS - {"your", "my", "our", "their"})) + r")\b)"
+
 #: (class, literals one of which the text must have, pattern), over the lower-cased text with single blanks.
 #: The literal is looked for first: it costs a fraction of the pattern and is absent from nearly all texts.
 DETECTORS = (
@@ -63,7 +66,7 @@ DETECTORS = (
     ("placeholder", ("einsetzen]", "eintragen]", " here]", "insérer]", "insertar]"), _QUOTE + r"\[[^\[\]]{1,40} (?:einsetzen|eintragen|here|insérer|insertar)\]" + _TALK),
     ("placeholder", ("<insert", "<your", "<enter"), r"<(?:insert|your|enter) [\w ]{1,40}>" + _TALK),
     ("placeholder", (":",), r"(?<![\w:]):[a-z]+_[a-z_]+:(?![\w:])" + _TALK),
-    ("placeholder", ("[", "{", "<"), r"\b(?:hello|hi|dear|welcome|thanks|thank you|regards|sincerely|by|from|for|to)[ ,:]+(?:\[(?!at\]|dot\])[a-z]+(?:[ _-][a-z]+){0,3}\]|\{[a-z]+(?:[ _-][a-z]+){0,3}\}|<[a-z]+(?:[ _-][a-z]+){1,3}>)" + _TALK),
+    ("placeholder", ("[", "{", "<"), r"\b(?:hello|hi|dear|welcome|thanks|thank you|regards|sincerely|by|from|for|to)[ ,:]+(?:\[(?!at\]|dot\])" + _NO_FUNCTION_WORD + r"[a-z]+(?:[ _-][a-z]+){0,3}\]|\{[a-z]+(?:[ _-][a-z]+){0,3}\}|<[a-z]+(?:[ _-][a-z]+){1,3}>)" + _TALK),
     ("placeholder", ("{",), _QUOTE + r"(?<![\w(){}\]$#%])\{[a-z]+(?:_[a-z]+)+\}(?![\w(){}\[])" + _TALK),
     ("placeholder", ("name here",), _QUOTE + r"\byour (?:company )?name here\b" + _TALK),
     ("placeholder", ("[object",), r"\[object object\]" + _TALK),
