@@ -359,8 +359,8 @@ def test_streams(spark, tmp_path):
     assert sum(r.offers for r in run(jobs.offers_per_window(stream()), "windows", "complete")) == 3
     answers = spark.createDataFrame([("h", 429, None), ("h", 429, 30.0), ("h", 200, None), ("h", 503, None), ("k", 200, None)], "host string, status int, retry_after double")
     timed = spark.createDataFrame([("h", 200, None, 3), ("h", 429, None, 1), ("h", 503, None, 4), ("h", 429, 30.0, 2)], "host string, status int, retry_after double, at int")
-    timed.coalesce(1).write.parquet(f"{tmp_path}/timed")
-    rows = run(jobs.throttle(spark.readStream.schema(timed.schema).parquet(f"{tmp_path}/timed")), "timed", "append")
+    timed.coalesce(1).write.parquet(f"{tmp_path}/timed-in")
+    rows = run(jobs.throttle(spark.readStream.schema(timed.schema).parquet(f"{tmp_path}/timed-in")), "timed", "append")
     assert [(r.status, r.streak, r.wait) for r in rows] == [(429, 1, 2.0), (429, 2, 30.0), (200, 0, 0.0), (503, 1, 2.0)]
     answers.coalesce(1).write.parquet(f"{tmp_path}/answers")
     rows = run(jobs.throttle(spark.readStream.schema(answers.schema).parquet(f"{tmp_path}/answers")), "waits", "append")
