@@ -6,6 +6,8 @@ any common order; the order here is rarest first, by a count sketch of fixed siz
 
 * Index lists hold a set's size and the token's position in it. They are sorted by both and cut in
   blocks; a pair of blocks whose sizes or positions rule out the overlap needed is skipped whole.
+* Pairs met are held against 256 marks of each set, parities of its tokens, before any token moves:
+  two sets differ in at least as many tokens as marks, and that bounds their overlap.
 * Answers are derived, not computed again, for sets related to one whose answers are known. Equal
   sets have one entry, one verification and one set of answers. Candidate pairs of related sets
   are verified together; the first set of such a group, the leader, is compared with each other
@@ -44,7 +46,9 @@ STEP = 2_000_000
 #: Greatest count a counter holds.
 MOST = (1 << 32) - 1
 
-_POSTING = np.dtype([("token", "<u4"), ("set", "<u8"), ("bits", "<u8"), ("size", "<u4"), ("at", "<u4")])
+_POSTING = np.dtype([("token", "<u4"), ("set", "<u8"), ("size", "<u4"), ("at", "<u4")])
+#: Columns of a set's marks, 64 in each.
+_MARKS = ("marks_0", "marks_1", "marks_2", "marks_3")
 
 
 #: Bits of a token: 48 of its hash. Two different tokens of a pair of sets of n tokens each are taken for one with a chance of n^2 / 2^48.
@@ -117,11 +121,15 @@ class Sets:
         s.owner = np.repeat(s.rows, s.size)
         return s
 
-    def bitmaps(self) -> np.ndarray:
-        """64 bits of each set: the number of bits that differ bounds the number of tokens that do."""
-        if not len(self.rows):
-            return np.zeros(0, np.uint64)
-        return np.bitwise_or.reduceat(np.uint64(1) << (self.tokens & np.uint64(63)), self.begin)
+    def marks(self) -> np.ndarray:
+        """A row of longs for each set: the parity of its tokens by eight bits of their hash. Two sets differ in as many tokens as marks, or more."""
+        out = np.zeros((len(self.rows), len(_MARKS)), np.uint64)
+        if len(self.rows):
+            at = self.tokens >> np.uint64(16)  # the bits below are not kept
+            bit, column = np.uint64(1) << (at & np.uint64(63)), (at >> np.uint64(6)) % np.uint64(len(_MARKS))
+            for k in range(len(_MARKS)):
+                out[:, k] = np.bitwise_xor.reduceat(np.where(column == k, bit, np.uint64(0)), self.begin)
+        return out
 
     def without_copies(self) -> np.ndarray:
         """Index of one of each equal sets."""
@@ -153,7 +161,7 @@ class Join:
         return Sets(b.column(0), b.column(1), b.column(2), self.run, self.least)
 
     def table(self, source: DataFrame) -> DataFrame:
-        """(id, name, tokens) of every text that takes part, in shared storage; of the equal sets of a batch one has its tokens."""
+        """(id, name, tokens, size, marks) of every text that takes part, in shared storage; of the equal sets of a batch one has its tokens, size and marks."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -161,9 +169,10 @@ class Join:
                 once = np.zeros(len(s.rows), bool)
                 once[s.without_copies()] = True
                 tokens = [_packed(s.tokens[i:i + n]) if o else None for i, n, o in zip(s.begin.tolist(), s.size.tolist(), once.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.name.view(np.int64)), pa.array(tokens, pa.binary())], names=["id", "name", "tokens"])
+                numbers = [pa.array(np.ascontiguousarray(x), pa.int64(), mask=~once) for x in (s.size, *s.marks().view(np.int64).T)]
+                yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.name.view(np.int64)), pa.array(tokens, pa.binary()), *numbers], names=["id", "name", "tokens", "size", *_MARKS])
 
-        return cut(source.mapInArrow(run, "id long, name long, tokens binary"), "neardup-sets")
+        return cut(source.mapInArrow(run, f"id long, name long, tokens binary, size long, {', '.join(f'{m} long' for m in _MARKS)}"), "neardup-sets")
 
     # --- the order of tokens: a count sketch ----------------------------------------------------
     def sketch(self, sets: DataFrame, rows: int) -> np.ndarray:
@@ -197,7 +206,6 @@ class Join:
         """Bucket and entry of each prefix token of each distinct set."""
         mask = np.zeros(len(s.rows), bool)
         mask[s.without_copies()] = True
-        bits = s.bitmaps()
         keep = mask[s.owner]
         tokens, owner = s.tokens[keep], s.owner[keep]
         if not len(tokens):
@@ -219,8 +227,7 @@ class Join:
             pair = np.minimum(mine, copies) * 65536 + np.maximum(mine, copies)
             tokens = np.where(parts > 1, vectors.finish(tokens + pair.astype(np.uint64)), tokens)
         out = np.empty(len(tokens), _POSTING)
-        out["token"], out["set"], out["bits"] = tokens >> np.uint64(32), s.name[owner], bits[owner]
-        out["size"], out["at"] = size, at
+        out["token"], out["set"], out["size"], out["at"] = tokens >> np.uint64(32), s.name[owner], size, at
         return ((tokens >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), out
 
     def candidates(self, sets: DataFrame, counts: np.ndarray, rows: int) -> DataFrame:
@@ -246,10 +253,19 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array(both[k:k + (1 << 16), 0]), pa.array(both[k:k + (1 << 16), 1])], names=["a", "b"])
 
         met = sets.where("tokens IS NOT NULL").select("name", "tokens").mapInArrow(index, "bucket long, entries binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
-        return met.distinct()
+        return self.likely(met.distinct(), sets)
+
+    def likely(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose sizes and marks allow the overlap needed."""
+        own = sets.where("size IS NOT NULL").groupBy("name").agg(*(F.min(c).alias(c) for c in ("size", *_MARKS)))
+        for side in ("a", "b"):
+            pairs = pairs.join(own.select(F.col("name").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("size", *_MARKS))), side)
+        total = F.col("a_size") + F.col("b_size")
+        differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in _MARKS), F.lit(0))
+        return pairs.where(F.shiftright(total - differ, 1) * (100 + self.percent) >= total * self.percent).select("a", "b")
 
     def pairs(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Set names of the pairs in each list that pass the size, position and bitmap bounds."""
+        """Set names of the pairs in each list that pass the size and position bounds."""
         rows = rows[np.lexsort((rows["set"], rows["at"], rows["size"], rows["token"]))]
         if len(rows):  # equal sets come from several partitions: one entry
             same = (rows["token"][1:] == rows["token"][:-1]) & (rows["set"][1:] == rows["set"][:-1])
@@ -286,9 +302,6 @@ class Join:
             i, j = i[go], j[go]
             need = _needed(size[i], size[j], self.percent)
             fine = (size[j] * self.percent <= 100 * size[i]) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
-            i, j, need = i[fine], j[fine], need[fine]
-            differ = np.bitwise_count(rows["bits"][i] ^ rows["bits"][j]).astype(np.int64)
-            fine = (size[i] + size[j] - differ) // 2 >= need
             i, j = i[fine], j[fine]
             if len(i):
                 yield rows["set"][i], rows["set"][j]

@@ -114,6 +114,20 @@ def test_very_long_texts_keep_their_pairs():
     assert len({tuple(sorted(p)) for x, y in join.pairs(rows) for p in zip(x.tolist(), y.tolist())}) == 1
 
 
+def test_marks_rule_out_unlike_sets_before_tokens_move(spark):
+    # sixty texts that share ten runs of some sixty, and a longer copy of twenty of them
+    rng = random.Random(5)
+    common = sentence(rng, 12)
+    rows = [(i, "a", f"{common} {sentence(rng, 50)}") for i in range(60)]
+    rows += [(100 + i, "a", f"{text} and so it ends") for i, _, text in rows[:20]]
+    join = neardup.Join(run=3, percent=60, least=20)
+    sets = join.table(join.source(table(spark, rows, "find_id long, kind string, text string")))
+    number = {r.name: r.id for r in sets.collect()}
+    got = join.candidates(sets, np.full(neardup.SLOTS, 2, np.uint32), len(rows)).collect()
+    want = brute_pairs(rows, join)
+    assert {tuple(sorted((number[r.a], number[r.b]))) for r in got} == want and len(want) == 20
+
+
 def test_answers_are_derived_from_those_of_a_leader():
     rng = np.random.default_rng(9)
     join = neardup.Join(run=3, percent=60, least=3)
